@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .scratch import forget, new_path, stored
 
 WIDTH, GRAM = 50, 8
-#: Fingerprints with more occurrences than this have their windows counted one by one, pre-aggregated, and never gathered.
-HOT = 512
+#: Windows that a task holds before it settles among them.
+HELD = 1 << 21
 
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 
@@ -155,31 +155,83 @@ class FingerprintIndex:
         return self.all().groupBy("fp").agg(F.sum("n").alias("n")).where("n > 1")
 
 
+_OUT = "fp long, id long, rk long, start int, wins binary, a long, b long"
+
+
+def _stretches(on: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of each run of on within one row."""
+    opens, closes = on.copy(), on.copy()
+    opens[1:] &= ~(on[:-1] & (row[1:] == row[:-1]))
+    closes[:-1] &= ~(on[1:] & (row[1:] == row[:-1]))
+    return np.flatnonzero(opens), np.flatnonzero(closes)
+
+
+def settle(fp: np.ndarray, ids: np.ndarray, rks: np.ndarray, starts: np.ndarray, sizes: np.ndarray, wins: np.ndarray, width: int, last: bool) -> list[pa.RecordBatch]:
+    """Decides among rows of windows: stretches [a, b) of words that a smaller document covers.
+
+    Unless this is the last word, windows that no smaller document of these has stay
+    rows, since one elsewhere may have them.
+    """
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    first = np.cumsum(sizes) - sizes
+    order = np.lexsort((ids[row], wins, fp[row]))
+    f, w, d = fp[row][order], wins[order], ids[row][order]
+    new = np.ones(len(order), bool)
+    new[1:] = (f[1:] != f[:-1]) | (w[1:] != w[:-1])
+    gone = np.zeros(len(order), bool)
+    gone[order] = d > d[np.flatnonzero(new)][np.cumsum(new) - 1]
+    at, to = _stretches(gone, row)
+    own = row[at]
+    a, b = at - first[own] + starts[own], to - first[own] + starts[own] + width
+    none = pa.nulls(len(own))
+    parts = [[pa.array(fp[own]), pa.array(ids[own]), pa.array(rks[own]), none.cast(pa.int32()), none.cast(pa.binary()), pa.array(a, pa.int64()), pa.array(b, pa.int64())]]
+    if not last:
+        at, to = _stretches(~gone, row)
+        own, data = row[at], wins.tobytes()
+        blobs = pa.array([data[8 * x : 8 * y + 8] for x, y in zip(at.tolist(), to.tolist(), strict=True)], pa.binary())
+        none = pa.nulls(len(own), pa.int64())
+        parts.append([pa.array(fp[own]), pa.array(ids[own]), pa.array(rks[own]), pa.array(at - first[own] + starts[own], pa.int32()), blobs, none, none])
+    names = ["fp", "id", "rk", "start", "wins", "a", "b"]
+    return pa.Table.from_batches([pa.RecordBatch.from_arrays(p, names=names) for p in parts]).combine_chunks().to_batches()
+
+
 def _emit(width: int, gram: int):
-    """Rows of windows under wanted fingerprints: each stretch of windows with one fingerprint gives a row."""
+    """Windows under wanted fingerprints, settled among those of the task.
+
+    Each stretch of windows with one fingerprint is a row. A passage of very many
+    documents so leaves a task once, besides the stretches that it covers.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
+        held: list[tuple] = []
+        count = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if held:
+                fp, ids, rks, starts, sizes, wins = (np.concatenate(x) for x in zip(*held, strict=True))
+                yield from settle(fp, ids, rks, starts, sizes, wins, width, False)
+
         for batch in batches:
-            rows, starts, fps, blobs = [], [], [], []
+            ids, rks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for i in range(batch.num_rows):
                 codes = hasher.codes(hasher.words(batch.column(2)[i].as_py()))
                 marks = anchors(hasher, codes, width, gram)
                 wanted = np.asarray(batch.column(3)[i].values, np.int64).view(np.uint64)
                 cuts = np.flatnonzero(np.diff(marks, prepend=marks[:1] ^ np.uint64(1)))
-                ends = np.append(cuts[1:], len(marks))
-                pick = np.flatnonzero(np.isin(marks[cuts], wanted))
-                if not len(pick):
+                sizes = np.diff(np.append(cuts, len(marks)))
+                pick = np.isin(marks[cuts], wanted)
+                if not pick.any():
                     continue
                 whole = hasher.runs(codes, width, 1)
-                for j in pick:
-                    starts.append(cuts[j])
-                    blobs.append(whole[cuts[j] : ends[j]].tobytes())
-                fps.append(marks[cuts[pick]])
-                rows.append(np.full(len(pick), i))
-            if rows:
-                own = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(fps).view(np.int64)), batch.column(0).take(own), batch.column(1).take(own), pa.array(starts, pa.int32()), pa.array(blobs, pa.binary())], names=["fp", "id", "rk", "start", "wins"])
+                n = int(pick.sum())
+                held.append((marks[cuts[pick]].view(np.int64), np.full(n, ids[i]), np.full(n, rks[i]), cuts[pick], sizes[pick], whole[np.repeat(pick, sizes)]))
+                count += int(sizes[pick].sum())
+                if count > HELD:
+                    yield from out()
+                    held.clear()
+                    count = 0
+        yield from out()
 
     return run
 
@@ -187,31 +239,13 @@ def _emit(width: int, gram: int):
 def _judge(width: int):
     """Over rows sorted by fp: stretches of words covered by windows that an earlier document has."""
 
-    def settle(tables: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-        t = pa.Table.from_batches(tables).combine_chunks()
-        if not t.num_rows:
-            return None
+    def decided(tables: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(tables)
         blobs = t.column("wins").to_pylist()
         sizes = np.fromiter((len(b) // 8 for b in blobs), np.int64, len(blobs))
-        row = np.repeat(np.arange(len(blobs)), sizes)
-        wins = np.frombuffer(b"".join(blobs), np.uint64)
-        fp, ids = t.column("fp").to_numpy()[row], t.column("id").to_numpy()[row]
-        order = np.lexsort((ids, wins, fp))
-        f, w, d = fp[order], wins[order], ids[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (f[1:] != f[:-1]) | (w[1:] != w[:-1])
-        low = d[np.flatnonzero(new)][np.cumsum(new) - 1]
-        gone = np.zeros(len(order), bool)
-        gone[order] = d > low
-        first = np.cumsum(sizes) - sizes
-        opens = gone.copy()
-        opens[1:] &= ~(gone[:-1] & (row[1:] == row[:-1]))
-        closes = gone.copy()
-        closes[:-1] &= ~(gone[1:] & (row[1:] == row[:-1]))
-        a, b = np.flatnonzero(opens), np.flatnonzero(closes)
-        own = pa.array(row[a])
-        base = t.column("start").to_numpy()[row[a]].astype(np.int64) - first[row[a]]
-        return pa.RecordBatch.from_arrays([t.column("id").combine_chunks().take(own), t.column("rk").combine_chunks().take(own), pa.array(a + base, pa.int64()), pa.array(b + base + width, pa.int64())], names=["id", "rk", "a", "b"])
+        columns = (t.column(c).to_numpy() for c in ("fp", "id", "rk", "start"))
+        for out in settle(*columns, sizes, np.frombuffer(b"".join(blobs), np.uint64), width, True):
+            yield out.select(["id", "rk", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -222,12 +256,11 @@ def _judge(width: int):
             cut = int(np.searchsorted(fp, fp[-1]))  # where the last fingerprint's rows begin
             if cut:
                 held.append(batch.slice(0, cut))
-                if (out := settle(held)) is not None:
-                    yield out
+                yield from decided(held)
                 held = []
             held.append(batch.slice(cut))
-        if held and (out := settle(held)) is not None:
-            yield out
+        if held:
+            yield from decided(held)
 
     return run
 
@@ -274,17 +307,14 @@ def spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int =
         known = index.append(part).where("n > 1 or seen").select("fp")
         shared = known if shared is None else shared.union(known)
         index.compact()
-    counts = stored(index.all().join(shared.distinct(), "fp", "left_semi").groupBy("fp").agg(F.sum("n").alias("n")).where("n > 1"), "shared")
-    wanted = prints.join(counts.select("fp"), "fp").groupBy("id", "rk").agg(F.collect_set("fp").alias("fps"))
+    wanted = prints.join(shared.distinct(), "fp").groupBy("id", "rk").agg(F.collect_set("fp").alias("fps"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = _keyed(docs, id_col, text_col).repartition(n, "id", "rk")
-    rows = dealt.join(wanted, ["id", "rk"]).select("id", "rk", "text", "fps").mapInArrow(_emit(width, gram), "fp long, id long, rk long, start int, wins binary")
-    rows = stored(rows.join(counts, "fp").select("fp", "id", "rk", "start", "wins", "n"), "windows")
-    cold = rows.where(F.col("n") <= HOT).drop("n").repartition("fp").sortWithinPartitions("fp").mapInArrow(_judge(width), "id long, rk long, a long, b long")
-    each = rows.where(F.col("n") > HOT).select("fp", "id", "rk", F.posexplode(F.expr("transform(sequence(0, octet_length(wins) div 8 - 1), i -> substring(wins, i * 8 + 1, 8))")).alias("i", "w"), "start")
-    low = each.groupBy("fp", "w").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("fp", "w", "low")
-    hot = each.join(low, ["fp", "w"]).where("id > low").select("id", "rk", (F.col("start") + F.col("i")).cast("long").alias("a"), (F.col("start") + F.col("i") + width).cast("long").alias("b"))
-    return dealt, cold.union(hot)
+    rows = dealt.join(wanted, ["id", "rk"]).select("id", "rk", "text", "fps").mapInArrow(_emit(width, gram), _OUT)
+    rows = stored(rows, "windows")
+    open_ = rows.where("wins is not null").select("fp", "id", "rk", "start", "wins").repartition("fp").sortWithinPartitions("fp")
+    covered = rows.where("wins is null").select("id", "rk", "a", "b").union(open_.mapInArrow(_judge(width), "id long, rk long, a long, b long"))
+    return dealt, covered
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
