@@ -8,6 +8,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Containers that may be nested in one another.
 MOST_NESTED = 32
@@ -80,13 +81,13 @@ def canonical_text(text: str | None) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canon_json(text: pd.Series) -> pd.Series:
     """JSON text to its canonical form, null where it has none."""
     return text.map(canonical_text, na_action="ignore").astype(object)
 
 
-@F.pandas_udf("map<string,string>")
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def _fields(text: pd.Series) -> pd.Series:
     def one(t: str | None) -> dict | None:
         try:

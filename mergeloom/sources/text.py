@@ -7,6 +7,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.identity import unframed
 from ..operators.exchange import parse_header, parsed_line
@@ -24,7 +25,7 @@ def attribute_triples(text: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.floor(F.size(parts) / 3).cast("int")), lambda i: F.struct(F.get(parts, 3 * i - 3).alias("path"), F.get(parts, 3 * i - 2).alias("attribute"), F.get(parts, 3 * i - 1).alias("value")))
 
 
-@F.pandas_udf("array<struct<status:string,path:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType().add("status", "string").add("path", "string")))
 def _changes(fields: pd.Series) -> pd.Series:
     """Status and path of each change; renames and copies have two paths, of which the second counts."""
 
@@ -79,7 +80,7 @@ def read_bundle(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
     return header, rows.select(safe.alias("id"), "p.type", "p.payload")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _inflated(raw: pd.Series) -> pd.Series:
     def one(b: bytes) -> bytes | None:
         try:
