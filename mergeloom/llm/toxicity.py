@@ -30,7 +30,7 @@ ORDER, DECAY = 3, 0.6
 LEAST, SHARED, REACH = 0.25, 0.6, 2
 #: Letters of a word compared at once; longer words are cut into overlapping stretches.
 LONGEST = 24
-CACHE = 300_000
+CACHE = 800_000
 #: Digits and signs that stand for letters.
 LOOKS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 #: Codes of the places before and after a word; letters outside a-z share the codes above.
@@ -394,3 +394,19 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("rk"), F.encode(text_col, "UTF-8").alias("text"))
     return keyed.mapInArrow(run, "doc_id long, rk long, score double")
+
+
+def kept(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose score is below threshold, with all their columns; no row moves."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(model.landmarks)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                texts = [(t or "").encode() for t in part.column(at).to_pylist()]
+                scores = model.probability(list(reader.batch(texts)))
+                yield part.filter(pa.array(scores < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
