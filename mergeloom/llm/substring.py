@@ -304,7 +304,8 @@ def spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int =
             part = part.where(F.col("id") > bounds[i - 1])
         if i < len(bounds):
             part = part.where(F.col("id") <= bounds[i])
-        known = index.append(part).where("n > 1 or seen").select("fp")
+        # written before compaction may delete the runs that it reads
+        known = stored(index.append(part).where("n > 1 or seen").select("fp"), "shared")
         shared = known if shared is None else shared.union(known)
         index.compact()
     wanted = prints.join(shared.distinct(), "fp").groupBy("id", "rk").agg(F.collect_set("fp").alias("fps"))
