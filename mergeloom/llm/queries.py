@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, embeddings, html, licenses, packing, ppm, simhash, substring, toxicity
+from . import chat, decontam, embeddings, html, licenses, oracles, packing, ppm, simhash, substring, toxicity
 
 #: The tokenizer's file; a parameter of the operator, never part of this repository.
 TOKENIZER = "word_bpe_49k.json"
@@ -81,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.every()
