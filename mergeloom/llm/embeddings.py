@@ -197,10 +197,10 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, tile: int =
     gap = F.expr("aggregate(zip_with(zip_with(low, high2, (a, b) -> a - b), zip_with(low2, high, (a, b) -> a - b), (p, q) -> greatest(p, q, 0D)), 0D, (s, g) -> s + g * g)")
     other = meta.select("label", "dim", F.col("tile").alias("tile2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
     pairs = meta.join(other, ["label", "dim"]).where("tile <= tile2").where(gap <= reach).select("tile", "tile2")
-    # dealt by pair, whatever the label, so that a label with most vectors is spread over all tasks
+    # dealt by tile, whatever the label, so that a label with most vectors is spread over all tasks
     left = tiles.select("tile", "dim", "nodes", "weights", "vectors")
     right = tiles.select(F.col("tile").alias("tile2"), F.col("nodes").alias("nodes2"), F.col("weights").alias("weights2"), F.col("vectors").alias("vectors2"))
-    work = pairs.repartition(4 * n, "tile", "tile2").join(left, "tile").join(right, "tile2")
+    work = pairs.join(left, "tile").join(right, "tile2")
     found = work.select("dim", (F.col("tile") == F.col("tile2")).alias("same"), "nodes", "weights", "vectors", "nodes2", "weights2", "vectors2").mapInArrow(_compared(turns, threshold), "node long, gain long, to long")
     found = stored(found, "links")
     gains = found.groupBy("node").agg(F.sum("gain").alias("gain"))
