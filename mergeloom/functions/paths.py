@@ -97,3 +97,22 @@ def adds_information(text: Column, name: Column, least_words: int = 4, least_new
 def tracking_ref(remote: Column, ref: Column) -> Column:
     """Where a remote's branch is kept locally; other refs keep their name."""
     return F.when(ref.startswith("refs/heads/"), F.concat(F.lit("refs/remotes/"), remote, F.lit("/"), F.substring(ref, 12, F.length(ref)))).otherwise(ref)
+
+
+def below(path: Column, prefix: str) -> Column:
+    """path is prefix or lies below it; an empty prefix holds all."""
+    return (path == prefix) | path.startswith(prefix + "/") if prefix else F.lit(True)
+
+
+def base_id(path: Column) -> Column:
+    """The last segment without its last extension; null where that is empty."""
+    name = F.element_at(F.split(path, "/"), -1)
+    return F.nullif(F.regexp_replace(name, r"\.[^.]*\z", ""), F.lit(""))
+
+
+def document_id(path: Column, prefix: str, extension: str = ".toon") -> Column:
+    """The id of an item document, which lies one folder below prefix, but not in history; null for other paths."""
+    inner = F.split(F.substring(path, len(prefix) + 2, F.length(path)) if prefix else path, "/")
+    stem = F.get(inner, F.lit(1))
+    fits = path.endswith(extension) & (F.size(inner) == 2) & (F.get(inner, F.lit(0)) != "history")
+    return F.when(fits, F.nullif(F.substring(stem, F.lit(1), F.length(stem) - len(extension)), F.lit("")))

@@ -112,3 +112,8 @@ def classify_push(updates: DataFrame, edges: DataFrame) -> DataFrame:
     both = updates.join(hit, ["name", "before"], "left")
     cls = F.when(F.col("before").isNull(), "create").when(F.col("before") == F.col("after"), "no_op").when(F.col("hit"), "fast_forward").otherwise("non_fast_forward")
     return both.select("name", cls.alias("class"))
+
+
+def common_haves(haves: DataFrame, store: DataFrame) -> DataFrame:
+    """(id): what a receiver has of a store, from which an export can start."""
+    return haves.select("id").distinct().join(store.select("id"), "id", "left_semi")

@@ -157,3 +157,26 @@ def latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The last row of each key."""
     w = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order])
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def merge_kind(edges_: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(pair, kind) of bringing right into left: up_to_date, fast_forward or merge."""
+    forth = is_ancestor(edges_, pairs.select("pair", F.col("right").alias("left"), F.col("left").alias("right"))).withColumnRenamed("is_ancestor", "has")
+    back = is_ancestor(edges_, pairs).withColumnRenamed("is_ancestor", "behind")
+    return forth.join(back, "pair").select("pair", F.when(F.col("has"), "up_to_date").when(F.col("behind"), "fast_forward").otherwise("merge").alias("kind"))
+
+
+def remote_listing(edges_: DataFrame, refs: DataFrame, head: str | None) -> DataFrame:
+    """(name, target, ahead, behind) of remote refs against head; both counts are null while there is no head.
+
+    The head's ancestry is walked once, beside that of all targets.
+    """
+    if head is None:
+        none = F.lit(None).cast("bigint")
+        return refs.select("name", "target", none.alias("ahead"), none.alias("behind"))
+    spark = refs.sparkSession
+    own = reachable(edges_, spark.createDataFrame([(0, head)], "root int, node string")).select("node", F.lit(True).alias("own"))
+    theirs = reachable(edges_, refs.select(F.col("name").alias("root"), F.col("target").alias("node")))
+    total = own.count()
+    each = theirs.join(own, "node", "left").groupBy(F.col("root").alias("name")).agg(F.count_if("own").alias("shared"), F.count_if(F.col("own").isNull()).alias("behind"))
+    return refs.join(each, "name").select("name", "target", (F.lit(total) - F.col("shared")).alias("ahead"), "behind")

@@ -125,3 +125,10 @@ def merge_log(base: DataFrame, ours: DataFrame, theirs: DataFrame, key: list[str
     timed = kept.withColumn("at", F.coalesce(F.last(at, ignorenulls=True).over(arrival.rowsBetween(Window.unboundedPreceding, 0)), F.lit("")))
     order = Window.partitionBy(*key).orderBy("at", "side", "pos")
     return timed.withColumn("seq", F.row_number().over(order)).select(*key, "seq", "line")
+
+
+def shown(record_fields: DataFrame) -> DataFrame:
+    """(record_id, text): a record with a field a line, sorted, for diffs; never hashed."""
+    line = F.struct("field", F.concat(F.lit('"'), "field", F.lit('": '), "value").alias("t"))
+    g = record_fields.groupBy("record_id").agg(F.array_sort(F.collect_list(line)).alias("x"))
+    return g.select("record_id", F.concat(F.array_join(F.transform("x", lambda s: s["t"]), "\n"), F.lit("\n")).alias("text"))

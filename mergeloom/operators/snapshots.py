@@ -87,3 +87,21 @@ def moves_and_copies(old: DataFrame, new: DataFrame, still_there: DataFrame) ->
     out = found.select("path", F.col("s.path").alias("source"), F.col("s.file_id").alias("origin")).join(here, "source", "left")
     moved = F.col("here").isNull()
     return out.select("path", "source", F.when(moved, "move").otherwise("copy").alias("kind"), F.when(moved, F.col("origin")).alias("file_id"), F.when(~moved, F.col("origin")).alias("copied_from"))
+
+
+#: Nanoseconds after a change during which an equal stat proves nothing.
+SETTLED_NS = 2_000_000_000
+
+
+def settled(stat: Column) -> Column:
+    """An observation made long enough after the file's last change to be trusted."""
+    return stat["observed_ns"] - F.greatest(stat["ctime_ns"], stat["mtime_ns"]) >= SETTLED_NS
+
+
+def content_unchanged(known: Column, now: Column) -> Column:
+    """Two stats show the same file, both conditions on age hold, and its content needn't be read; false without a known one."""
+    same = [known[c] == now[c] for c in ("size", "mtime_ns", "ctime_ns", "dev", "ino")]
+    every = settled(known) & (now["observed_ns"] - known["observed_ns"] >= SETTLED_NS)
+    for s in same:
+        every = every & s
+    return F.coalesce(every, F.lit(False))

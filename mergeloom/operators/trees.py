@@ -118,3 +118,11 @@ def fork_repeated(files: DataFrame) -> DataFrame:
 def ranked_identities(files: DataFrame) -> DataFrame:
     """(path, file_id, rank): the place of a path among those of its identity."""
     return files.select("path", "file_id", F.row_number().over(Window.partitionBy("file_id").orderBy("path")).alias("rank"))
+
+
+def virtual_base(bases: list[DataFrame], root: DataFrame) -> DataFrame:
+    """One snapshot for several merge bases: folded by merges against root; a conflict keeps the side so far."""
+    now = bases[0]
+    for other in bases[1:]:
+        now = cut(merge(root, now, other).where("id is not null").select("path", *ENTRY))
+    return now
