@@ -282,7 +282,7 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         seen[w] = 0
             else:
                 seen.update(words)
-            if len(seen) > 400_000:
+            if len(seen) > 800_000:
                 yield out()
                 seen.clear()
     if seen:
@@ -316,7 +316,7 @@ def _score(trie):
                 words = t.split()
                 new = list({w for w in words if w not in known})
                 if new:
-                    if len(known) + len(new) > 400_000:
+                    if len(known) + len(new) > 800_000:
                         known.clear()
                         new = list(set(words))
                     h = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new)).view(np.int64)
