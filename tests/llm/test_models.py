@@ -213,3 +213,16 @@ def test_decoding_has_no_contradiction():
         margin = r.normal(size=len(page.tag)) * 3
         kept = html.decode(page, margin)
         assert all(not kept[i] or kept[page.parent[i]] for i in range(1, len(kept)))
+
+
+def test_piece_encoder_gives_the_tokenizers_ids():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    assert packing.piece_encoder(path) is not None
+    tk, mine, r = Tokenizer.from_file(path), packing.word_ids(path), random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789'.,!?-_\x1c\x7fàéîõüßÿÀÉß漢ſİΣσς́ǅ½²ªµ"
+    words = ["".join(r.choice(letters[:k]) for _ in range(r.randint(1, 14))) for k in (26, 52, 70, 80, len(letters)) for _ in range(3000)]
+    words += ["don't", "we're", "'s", "!'s", "x'll'd", "<|endoftext|>a", "a<|startoftext|>", "<|x"]
+    for w, e in zip(words, tk.encode_batch(words, add_special_tokens=False), strict=True):
+        assert mine(w.encode()) == np.asarray(e.ids, "<u4").tobytes(), w
