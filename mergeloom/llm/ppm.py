@@ -34,7 +34,7 @@ MOST_NODES = 1 << 21
 START, STOP = b"\xfe", b"\xff"
 SYMBOLS = 257
 #: Bytes of text handled at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +83,7 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in chunks(texts):
             k, c = np.unique(grams(some)[0], return_counts=True)
             keys, counts = _summed(np.concatenate([keys, k]), np.concatenate([counts, c]))
-            if len(keys) > 1 << 22:
+            if len(keys) > 1 << 21:
                 yield from out()
                 keys, counts = keys[:0], counts[:0]
     yield from out()
@@ -282,7 +282,7 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         seen[w] = 0
             else:
                 seen.update(words)
-            if len(seen) > 800_000:
+            if len(seen) > 400_000:
                 yield out()
                 seen.clear()
     if seen:
@@ -316,7 +316,7 @@ def _score(trie):
                 words = t.split()
                 new = list({w for w in words if w not in known})
                 if new:
-                    if len(known) + len(new) > 800_000:
+                    if len(known) + len(new) > 500_000:
                         known.clear()
                         new = list(set(words))
                     h = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new)).view(np.int64)
