@@ -4,18 +4,20 @@ The trie holds contexts of up to DEPTH - 1 bytes. A byte not seen in a context
 escapes to the next shorter one, with PPM method C's estimate, and the bytes
 seen in the longer context are excluded there. The trie is trained beforehand,
 on all training documents, so every probability is a function of the last DEPTH
-bytes: a byte whose full context knows it is one table look-up, and the others
-are worked out once for each distinct run of bytes.
-
-A node stays in the trie where it carries at least 1 / MOST_NODES of the
-training bytes, whatever the size of the corpus. That bounds each level to
-MOST_NODES nodes (under 16 bytes each) and the whole broadcast trie to
-16 * DEPTH * MOST_NODES = 200 MB. What a context has lost counts as escapes.
+bytes, and is worked out once for each distinct run of bytes.
+
+The trie keeps every node and is never in one place. Levels 0 to BELOW - 1 are
+broadcast: the alphabet bounds them, to 2^24 nodes of three bytes, whatever the
+size of the corpus. All longer contexts with the same last BELOW bytes and their
+nodes need only each other and those levels, so they are dealt out by these bytes.
+Each partition of documents asks for its distinct grams once, in blobs, and gets
+their probabilities back.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,10 +28,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import forget, new_path, stored
+from .scratch import stored
 
 DEPTH = 6
-MOST_NODES = 1 << 21
+#: Levels that are broadcast, and the bytes at the end of a context that deal out the others.
+BELOW = 3
+#: Bytes of text that a partition of documents has at most, about.
+PART = 1 << 24
 #: Bytes that UTF-8 never has: before a text, and after it. 256 byte values and the end can be predicted.
 START, STOP = b"\xfe", b"\xff"
 SYMBOLS = 257
@@ -70,23 +75,117 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(g, n) for the texts of a partition, each gram once as long as they fit."""
+def count_low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(g, n): the last BELOW bytes of the grams of a partition's texts, each once."""
     keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-    def out() -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(keys), 1 << 18):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 18)].view(np.int64)), pa.array(counts[at : at + (1 << 18)])], names=["g", "n"])
-
     for batch in batches:
         texts = [(t.as_py() or b"").lower() for t in batch.column(0)]
         for some in chunks(texts):
-            k, c = np.unique(grams(some)[0], return_counts=True)
-            keys, counts = _summed(np.concatenate([keys, k]), np.concatenate([counts, c]))
-            if len(keys) > 1 << 21:
-                yield from out()
-                keys, counts = keys[:0], counts[:0]
-    yield from out()
+            low = (grams(some)[0] & np.uint64((1 << 8 * BELOW) - 1)).astype(np.uint32)
+            k, c = np.unique(low, return_counts=True)
+            keys, counts = _summed(np.concatenate([keys, k.astype(np.uint64)]), np.concatenate([counts, c]))
+    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["g", "n"])
+
+
+def _ask(buckets: int):
+    """(bucket, chunk, data): the distinct grams of a partition and their counts in training texts, by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, pending, size = None, [], 0
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            bucket = _bucket(keys, buckets)
+            order = np.lexsort((_turned(keys), bucket))
+            k, c, bucket = keys[order], counts[order], bucket[order]
+            first = np.flatnonzero(np.diff(bucket, prepend=-1))
+            ends = [*first[1:].tolist(), len(k)]
+            for at in range(0, len(first), 1000):
+                data = [_packed(k[i:j], c[i:j]) for i, j in zip(first[at : at + 1000].tolist(), ends[at : at + 1000], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[first[at : at + 1000]], pa.int32()), pa.array([chunk] * len(data), pa.int32()), pa.array(data, pa.binary())], names=["bucket", "chunk", "data"])
+
+        for batch in batches:
+            if batch.num_rows and chunk is None:
+                chunk = batch.column(0)[0].as_py()
+            texts = [(t or b"").lower() for t in batch.column(1).to_pylist()]
+            held = batch.column(2).to_pylist()
+            for side in (False, True):
+                for some in chunks([t for t, h in zip(texts, held, strict=True) if h is side]):
+                    k, c = np.unique(grams(some)[0], return_counts=True)
+                    pending.append((k, np.zeros(len(k), np.int64) if side else c))
+                    size += len(k)
+                    if size > max(1 << 19, len(keys)):
+                        keys, counts = _summed(*map(np.concatenate, zip((keys, counts), *pending, strict=True)))
+                        pending, size = [], 0
+                        if len(keys) > 1 << 21:
+                            yield from out()
+                            keys, counts = keys[:0], counts[:0]
+        if pending:
+            keys, counts = _summed(*map(np.concatenate, zip((keys, counts), *pending, strict=True)))
+        if len(keys):
+            yield from out()
+
+    return run
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where a gram belongs, by the last BELOW bytes of its context."""
+    end = (keys >> np.uint64(8)) & np.uint64((1 << 8 * BELOW) - 1)
+    return ((end * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
+
+
+def _turned(keys: np.ndarray) -> np.ndarray:
+    """Grams with the last BELOW bytes of the context in front, so that the order is that of the context's end."""
+    end = (keys >> np.uint64(8)) & np.uint64((1 << 8 * BELOW) - 1)
+    return (end << np.uint64(24)) | ((keys >> np.uint64(32)) << np.uint64(8)) | (keys & np.uint64(255))
+
+
+def _packed(keys: np.ndarray, values: np.ndarray) -> bytes:
+    """Grams in the order of _turned and 8 bytes for each: differences by byte, then the values, compressed."""
+    steps = np.diff(_turned(keys), prepend=np.uint64(0))
+    return zlib.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes() + values.tobytes(), 6)
+
+
+def _unpacked(data: bytes, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    raw = zlib.decompress(data)
+    n = len(raw) // 16
+    q = np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n).reshape(8, n).T).view(np.uint64).ravel(), dtype=np.uint64)
+    keys = (((q >> np.uint64(8)) & np.uint64(0xFFFF)) << np.uint64(32)) | ((q >> np.uint64(24)) << np.uint64(8)) | (q & np.uint64(255))
+    return keys, np.frombuffer(raw, kind, n, 8 * n)
+
+
+def _answer(low):
+    """(chunk, data): the grams of each blob with the log10 of their probabilities. A partition has whole buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, keys, counts = [], [], []
+        for batch in batches:
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                k, c = _unpacked(data, np.int64)
+                asked.append((chunk, len(k)))
+                keys.append(k)
+                counts.append(c)
+        if not asked:
+            return
+        every = np.concatenate(keys)
+        g, back = np.unique(every, return_inverse=True)
+        n = np.zeros(len(g), np.int64)
+        np.add.at(n, back, np.concatenate(counts))
+        values = Trie.build([*low.value, *levels(g[n > 0], n[n > 0], range(BELOW, DEPTH))]).log10(g)[back]
+        at = 0
+        for start in range(0, len(asked), 1000):
+            some, rows = asked[start : start + 1000], []
+            for _, size in some:
+                rows.append(_packed(every[at : at + size], values[at : at + size]))
+                at += size
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in some], pa.int32()), pa.array(rows, pa.binary())], names=["chunk", "data"])
+
+    return run
+
+
+def levels(g: np.ndarray, n: np.ndarray, orders: range) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The nodes of these orders and their counts, from distinct grams with counts."""
+    return [_summed(g & np.uint64((1 << 8 * (k + 1)) - 1), n) for k in orders]
 
 
 @dataclass
@@ -237,33 +336,17 @@ def _hashed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return slot, held
 
 
-def train(docs: DataFrame, text_col: str = "text") -> Trie:
-    """Counts all bytes of docs' texts in their contexts and builds the trie."""
-    spark = docs.sparkSession
-    path = new_path(spark, "grams")
-    raw = docs.select(F.encode(F.coalesce(text_col, F.lit("")), "UTF-8").alias("text")).mapInArrow(count_grams, "g long, n long")
-    counts = stored(raw.groupBy("g").agg(F.sum("n").alias("n")), "grams", path)
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(1, math.ceil(total / MOST_NODES))
-    levels = []
-    for k in range(DEPTH):
-        g = F.col("g").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1).cast("long"))
-        level = counts.groupBy(g.alias("g")).agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
-        keys, n = level.column("g").to_numpy().astype(np.uint64), level.column("n").to_numpy()
-        order = np.argsort(keys)
-        levels.append((keys[order], n[order]))
-    forget(spark, path)
-    return Trie.build(levels)
+class Asked(Trie):
+    """Only the probabilities that a partition asked for."""
+
+    def slow(self, g: np.ndarray) -> np.ndarray:
+        raise LookupError(f"{len(g)} grams were not asked for")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
-_TERMS = "kind int, chunk int, h long, c long, own boolean"
-_DOCS = "doc_id long, held_out boolean, text binary"
-
-
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(chunk, h, n): each word of the partition with its count in training texts; chunk leads back to the partition."""
     chunk, seen = None, Counter()
@@ -289,48 +372,52 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _score(trie):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = trie.value
-        hashes, counts, owned = [], [], 0
-        ready = None
-        known: dict[bytes, int] = {}
-        for batch in batches:
-            kind = batch.column(0).to_numpy()
-            n_terms = int((kind == 0).sum())  # terms come first
-            if n_terms:
-                hashes.append(batch.column(2).slice(0, n_terms).to_numpy(zero_copy_only=False).astype(np.int64))
-                counts.append(batch.column(3).slice(0, n_terms).to_numpy(zero_copy_only=False).astype(np.int64))
-                owned += sum(batch.column(4).slice(0, n_terms).to_pylist())
-            docs = batch.slice(n_terms)
-            if not docs.num_rows:
-                continue
-            if ready is None:
-                h = np.concatenate(hashes) if hashes else np.zeros(0, np.int64)
-                order = np.argsort(h)
-                ready = (h[order], (np.concatenate(counts) if counts else h)[order])
-                hashes = counts = None
-            texts = [(t or b"").lower() for t in docs.column(7).to_pylist()]
-            n_tokens, n_known, sums = [], [], []
-            for t in texts:
-                words = t.split()
-                new = list({w for w in words if w not in known})
-                if new:
-                    if len(known) + len(new) > 500_000:
-                        known.clear()
-                        new = list(set(words))
-                    h = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new)).view(np.int64)
-                    i, there = _find(ready[0], h)
-                    known.update(zip(new, np.where(there, ready[1][i] if len(ready[1]) else 0, 0).tolist(), strict=True))
-                c = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-                n_tokens.append(len(words) + 1)
-                n_known.append(int((c > 0).sum()))
-                sums.append(float(np.log10(c + 0.5).sum()))
-            n = docs.num_rows
-            yield pa.RecordBatch.from_arrays([docs.column(5), docs.column(6), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(model.scores(texts)), pa.array([owned] + [0] * (n - 1), pa.int64())], names=["doc_id", "held_out", "n_tokens", "n_known", "word_sum", "score", "owned"])
-            owned = 0
-
-    return run
+def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes, counts, owned = [], [], 0
+    ready = model = None
+    keys, values = [np.zeros(0, np.uint64)], [np.zeros(0)]
+    known: dict[bytes, int] = {}
+    for batch in batches:
+        kind = batch.column(0).to_numpy()
+        n_terms = int((kind == 0).sum())  # terms come first
+        if n_terms:
+            hashes.append(batch.column(2).slice(0, n_terms).to_numpy(zero_copy_only=False).astype(np.int64))
+            counts.append(batch.column(3).slice(0, n_terms).to_numpy(zero_copy_only=False).astype(np.int64))
+            owned += sum(batch.column(4).slice(0, n_terms).to_pylist())
+        n_grams = int((kind == 1).sum())  # then grams
+        for data in batch.column(7).slice(n_terms, n_grams).to_pylist():
+            k, v = _unpacked(data, np.float64)
+            keys.append(k)
+            values.append(v)
+        docs = batch.slice(n_terms + n_grams)
+        if not docs.num_rows:
+            continue
+        if ready is None:
+            h = np.concatenate(hashes) if hashes else np.zeros(0, np.int64)
+            order = np.argsort(h)
+            ready = (h[order], (np.concatenate(counts) if counts else h)[order])
+            every, first = np.unique(np.concatenate(keys), return_index=True)
+            model = Asked(table=_hashed(every, np.concatenate(values)[first]))
+            hashes = counts = keys = values = None
+        texts = [(t or b"").lower() for t in docs.column(7).to_pylist()]
+        n_tokens, n_known, sums = [], [], []
+        for t in texts:
+            words = t.split()
+            new = list({w for w in words if w not in known})
+            if new:
+                if len(known) + len(new) > 500_000:
+                    known.clear()
+                    new = list(set(words))
+                h = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new)).view(np.int64)
+                i, there = _find(ready[0], h)
+                known.update(zip(new, np.where(there, ready[1][i] if len(ready[1]) else 0, 0).tolist(), strict=True))
+            c = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            n_tokens.append(len(words) + 1)
+            n_known.append(int((c > 0).sum()))
+            sums.append(float(np.log10(c + 0.5).sum()))
+        n = docs.num_rows
+        yield pa.RecordBatch.from_arrays([docs.column(5), docs.column(6), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(model.scores(texts)), pa.array([owned] + [0] * (n - 1), pa.int64())], names=["doc_id", "held_out", "n_tokens", "n_known", "word_sum", "score", "owned"])
+        owned = 0
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -342,21 +429,29 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     The base joins words with their counts over the whole corpus: each partition of
     documents asks for its distinct words once, by a 64-bit hash, and gets their counts
-    back. Neither the words nor their counts are gathered in one place.
+    back. Grams and their probabilities go the same way. None of them is gathered in one
+    place.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
-    trie = train(own.where("not held_out"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    trained = own.where("not held_out").select(F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
+    low = trained.mapInArrow(count_low, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).toArrow()
+    low = _summed(low.column("g").to_numpy().astype(np.uint64), low.column("n").to_numpy())
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(int(low[1].sum()) / PART))
+    low = spark.sparkContext.broadcast(levels(*low, range(BELOW)))
     dealt = own.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(16 * n)).cast("int").alias("chunk"), F.encode("text", "UTF-8").alias("text"), "held_out", "doc_id")
-    terms = dealt.repartition(n, "chunk").select("chunk", "text", "held_out").mapInArrow(_vocabulary, "chunk int, h long, n long")
+    parts = dealt.select("chunk", "text", "held_out").repartition(n, "chunk")
+    terms = parts.mapInArrow(_vocabulary, "chunk int, h long, n long")
     counted = terms.groupBy("h").agg(F.sum("n").alias("c"), F.collect_set("chunk").alias("chunks"))
     back = counted.select("h", "c", F.posexplode("chunks").alias("p", "chunk"))
-    back = back.select(F.lit(0).alias("kind"), "chunk", "h", "c", ((F.col("p") == 0) & (F.col("c") > 0)).alias("own"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("binary").alias("text"))
-    asked = dealt.select(F.lit(1).alias("kind"), "chunk", F.lit(None).cast("long").alias("h"), F.lit(None).cast("long").alias("c"), F.lit(None).cast("boolean").alias("own"), "doc_id", "held_out", "text")
-    both = back.union(asked).repartition(n, "chunk").sortWithinPartitions("kind")
-    model = spark.sparkContext.broadcast(trie)
-    rows = both.mapInArrow(_score(model), "doc_id long, held_out boolean, n_tokens long, n_known long, word_sum double, score double, owned long")
+    none = {c: F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in "h long, c long, own boolean, doc_id long, held_out boolean, text binary".split(", "))}
+    back = back.select(F.lit(0).alias("kind"), "chunk", "h", "c", ((F.col("p") == 0) & (F.col("c") > 0)).alias("own"), none["doc_id"], none["held_out"], none["text"])
+    blobs = parts.mapInArrow(_ask(4 * n), "bucket int, chunk int, data binary").repartition(n, "bucket").select("chunk", "data")
+    known = blobs.mapInArrow(_answer(low), "chunk int, data binary")
+    known = known.select(F.lit(1).alias("kind"), "chunk", none["h"], none["c"], none["own"], none["doc_id"], none["held_out"], F.col("data").alias("text"))
+    asked = dealt.select(F.lit(2).alias("kind"), "chunk", none["h"], none["c"], none["own"], "doc_id", "held_out", "text")
+    both = back.union(known).union(asked).repartition(n, "chunk").sortWithinPartitions("kind")
+    rows = both.mapInArrow(_score, "doc_id long, held_out boolean, n_tokens long, n_known long, word_sum double, score double, owned long")
     rows = stored(rows, "scores")
     tokens, ends, words = rows.agg(F.coalesce(F.sum(F.when(~F.col("held_out"), F.col("n_tokens"))), F.lit(0)), F.coalesce(F.sum(F.when(~F.col("held_out"), 1)), F.lit(0)), F.coalesce(F.sum("owned"), F.lit(0))).first()
     under = math.log10(tokens + 0.5 * (words + (ends > 0) + 1)) if tokens else math.log10(0.5)

@@ -136,6 +136,18 @@ def test_scores(spark):
     assert ppm.scored(rows_of(spark, [])).count() == 0
 
 
+def test_all_grams_count_at_every_size(spark):
+    r = random.Random(5)
+    rows = [(i, "".join(r.choices("abcdefghij é", k=30_000))) for i in range(110)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    train = [t.encode() for i, t in rows if not held(i)]
+    assert sum(map(len, train)) > 1 << 21
+    trie = ppm.Trie.build(ppm.levels(*np.unique(np.concatenate([ppm.grams([t])[0] for t in train]), return_counts=True), range(ppm.DEPTH)))
+    want = dict(zip([i for i, _ in rows], trie.scores([t.encode() for _, t in rows]), strict=True))
+    for x in ppm.scored(rows_of(spark, rows)).collect():
+        assert x.score == pytest.approx(want[x.doc_id], rel=1e-9)
+
+
 def kernel_by_hand(a, b, n, decay):
     """Sum over common subsequences of n letters of decay to the letters that they span."""
     from itertools import combinations
