@@ -128,10 +128,10 @@ CASE WHEN c_custkey % 7 = 0 THEN 'new' WHEN c_custkey % 3 <> 0 THEN 'equal' WHEN
 
 
 def push_classify(spark, d):
-    nodes, edges, tips = dag(spark, d)
-    at = lambda l, a: nodes.where(f"level = {l} and lane = 0").selectExpr("user_id AS name", f"id AS {a}")
-    u = tips.select(F.col("pair").alias("name"), F.col("left").alias("after")).join(at(12, "p"), "name").join(at(14, "c"), "name", "left")
-    u = u.select("name", F.when(F.col("name") % 4 == 0, F.lit(None)).when(F.col("name") % 4 == 1, F.col("after")).when(F.col("name") % 4 == 2, F.col("p")).otherwise(F.coalesce("c", F.lit("none"))).alias("before"), "after")
+    _, edges, tips = dag(spark, d)
+    up = edges.where("ordinal = 0").selectExpr("child AS after", "parent AS p")
+    u = tips.selectExpr("pair AS name", "left AS after", "right AS other").join(up, "after", "left")
+    u = u.select("name", F.when(F.col("name") % 4 == 0, F.lit(None)).when(F.col("name") % 4 == 1, F.col("after")).when(F.col("name") % 4 == 2, F.col("p")).otherwise(F.col("other")).alias("before"), "after")
     return exchange.classify_push(u, edges)
 
 

@@ -72,17 +72,20 @@ UP_SQL = f"WITH RECURSIVE {DAG_SQL.strip()}, {_UP.strip()}"
 
 
 def dag(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, tips): tips pairs the two nodes of each user's level 13."""
+    """(nodes, edges, tips) of all events: tips pairs the last nodes of each user's two lanes.
+
+    DAG_SQL still ends at level 15 and has its tips at level 13, so it isn't the same history.
+    """
     e = table(spark, sf_dir, "events")
     from pyspark.sql import Window
 
     k = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    n = e.select("user_id", k.alias("k")).where("k div 2 <= 15").selectExpr("user_id", "k % 2 AS lane", "CAST(k div 2 AS INT) AS level", "concat(user_id, ':', k div 2, ':', k % 2) AS id")
+    n = e.select("user_id", k.alias("k")).selectExpr("user_id", "k % 2 AS lane", "CAST(k div 2 AS INT) AS level", "concat(user_id, ':', k div 2, ':', k % 2) AS id")
     parent = n.selectExpr("user_id", "lane AS plane", "level + 1 AS level", "id AS parent")
     both = n.join(parent, ["user_id", "level"]).where("lane = plane OR level % 3 = 0")
     edges = both.selectExpr("id AS child", "parent", "IF(lane = plane, 0, 1) AS ordinal")
-    at = n.where("level = 13")
-    tips = at.where("lane = 0").selectExpr("user_id AS pair", "id AS left").join(at.where("lane = 1").selectExpr("user_id AS pair", "id AS right"), "pair")
+    last = n.groupBy("user_id", "lane").agg(F.max_by("id", "level").alias("id"))
+    tips = last.where("lane = 0").selectExpr("user_id AS pair", "id AS left").join(last.where("lane = 1").selectExpr("user_id AS pair", "id AS right"), "pair")
     return n, edges, tips
 
 

@@ -202,3 +202,33 @@ def test_files(spark, tmp_path):
     (tmp_path / oid[:2] / oid[2:]).write_bytes(zlib.compress(frame))
     got = sources.read_loose_objects(spark, str(tmp_path)).collect()
     assert [(r.id, r.type, bytes(r.payload), r.size) for r in got] == [(oid, "blob", b"abc", 3)]
+
+
+def test_history_has_all_events(spark, tmp_path):
+    from mergeloom.plans import history_queries as q
+    from mergeloom.plans.versions import dag as history
+
+    rows = [(u, 1000 * u + k, f"2024-01-01 00:{k // 60:02}:{k % 60:02}") for u, n in ((1, 75), (2, 41), (3, 3), (5, 1), (7, 38)) for k in range(n)]
+    spark.createDataFrame(rows, "user_id long, event_id long, t string").selectExpr("user_id", "event_id", "CAST(t AS TIMESTAMP) AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    nodes, edges, tips = history(spark, str(tmp_path))
+    assert nodes.count() == len(rows) and nodes.agg({"level": "max"}).first()[0] == 37
+    up = {}
+    for e in edges.collect():
+        up.setdefault(e.child, set()).add(e.parent)
+    want = {(f"{u}:{k // 2}:{k % 2}", f"{u}:{k // 2 - 1}:{j}") for u, i, _ in rows for k in (i - 1000 * u,) for j in (0, 1) if k >= 2 and (j == k % 2 or k // 2 % 3 == 0)}
+    assert {(c, p) for c, ps in up.items() for p in ps} == want
+
+    def reach(node):
+        seen, todo = set(), [node]
+        while todo:
+            if (n := todo.pop()) not in seen:
+                seen.add(n)
+                todo += up.get(n, ())
+        return seen
+
+    ends = {1: ("1:37:0", "1:36:1"), 2: ("2:20:0", "2:19:1"), 3: ("3:1:0", "3:0:1"), 7: ("7:18:0", "7:18:1")}
+    assert {t.pair: (t.left, t.right) for t in tips.collect()} == ends
+    sides = {u: (reach(a), reach(b)) for u, (a, b) in ends.items()}
+    assert {tuple(r) for r in q.dag_reachable(spark, str(tmp_path)).collect()} == {(u, len(a), min(a)) for u, (a, b) in sides.items()}
+    assert {tuple(r) for r in q.ahead_behind(spark, str(tmp_path)).collect()} == {(u, len(a - b), len(b - a)) for u, (a, b) in sides.items()}
+    assert {r.name: r["class"] for r in q.push_classify(spark, str(tmp_path)).collect()} == {1: "no_op", 2: "fast_forward", 3: "non_fast_forward", 7: "non_fast_forward"}
