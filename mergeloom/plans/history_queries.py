@@ -213,7 +213,7 @@ SQL["ref_cas"] = "SELECT 'refs/heads/' || c_custkey AS ref, 'ref_changed' AS pro
 
 
 def ref_resolve(spark, d):
-    c = table(spark, d, "customer").where("c_custkey <= 200")
+    c = table(spark, d, "customer")
     kinds = F.array(*[F.when(F.col("c_custkey") % m != 0, F.concat(F.lit(p), "c_custkey")) for m, p in ((2, "refs/heads/"), (3, "refs/tags/"), (5, "refs/remotes/"))])
     refs = c.select(F.explode(F.array_compact(kinds)).alias("name")).withColumn("target", F.col("name"))
     return oplog.resolve(c.select(F.col("c_custkey").cast("string").alias("name")), refs, c.where("c_custkey % 7 = 0").select(F.col("c_custkey").cast("string").alias("id")))
@@ -261,7 +261,7 @@ SQL["replay_set"] = f"WITH RECURSIVE {DAG_SQL.strip()}, a(node) AS (SELECT id FR
 
 def _chain(spark, d):
     """Four commits a customer, each with its hash as id."""
-    c = table(spark, d, "customer").where("c_custkey <= 50").select(F.col("c_custkey").alias("k"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
     sig = F.struct(F.lit("n").alias("name"), F.lit("e@x").alias("email"), F.lit(1000).cast("bigint").alias("ts_ms"), F.lit(0).alias("tz_min"))
     none = F.array().cast("array<string>")
     out, last = None, None

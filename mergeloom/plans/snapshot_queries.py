@@ -187,7 +187,7 @@ SQL["path_flatten"] = f"WITH {_LINES_SQL} SELECT path, id FROM l"
 
 
 def tree_build(spark, d):
-    lines = _lines(spark, d).where("o_custkey % 10 = 1").groupBy("o_custkey", "o_orderkey", "l_linenumber").agg(F.min("id").alias("id"))
+    lines = _lines(spark, d).groupBy("o_custkey", "o_orderkey", "l_linenumber").agg(F.min("id").alias("id"))
     none = F.lit(None).cast("string")
     f = lines.select(F.lit("r").alias("root"), F.expr("concat('c', o_custkey, '/o', o_orderkey, '/', l_linenumber)").alias("path"), "id", F.lit("100644").alias("mode"), none.alias("file_id"), none.alias("copied_from"))
     return trees.build(f).select("dir", "tree_id")
