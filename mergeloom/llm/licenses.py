@@ -2,7 +2,7 @@
 
 Document frequencies of all words of the licence templates are counted over the
 whole corpus. Each template is indexed by its rarest words with their places.
-A document looks up its own rarest indexed words; the postings are brought to
+A document looks up all its indexed words; the postings are brought to
 relative places (document place less template place), and a template is a
 candidate where several of its words agree on one. It is a label of the document
 where the template's key phrases stand there as well.
@@ -46,7 +46,7 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
 )
 
-#: Indexed words a template, words looked up a document, and agreeing words that make a candidate.
+#: Indexed words a template, words that the SQL looks up a document (the operator: all), and agreeing words that make a candidate.
 INDEXED, LOOKED_UP, AGREE = 5, 12, 2
 
 
@@ -96,11 +96,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     that repeat id and text get equal results. An empty table gives an empty result.
     """
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("rk"), words(F.col(text_col)).alias("w"))
-    postings, idf = index(keyed)
-    indexed = sorted({p[0] for p in postings}, key=lambda x: (-idf[x], x))
+    postings, _ = index(keyed)
+    indexed = sorted({p[0] for p in postings})
     phrases = sorted({k for _, _, ks in TEMPLATES for k in ks})
-    # the document's indexed words, rarest first: array_intersect keeps the order of its first argument
-    looked = keyed.withColumn("top", F.expr(f"slice(array_intersect({_quoted(indexed)}, w), 1, {LOOKED_UP})")).withColumn("hits", F.expr(_places()))
+    # at most INDEXED words a template
+    looked = keyed.withColumn("top", F.expr(f"array_intersect({_quoted(indexed)}, w)")).withColumn("hits", F.expr(_places()))
     looked = looked.withColumn("posts", F.expr("CASE WHEN size(top) > 0 THEN filter(transform(w, (x, i) -> struct(i AS i, x AS x)), p -> array_contains(top, p.x)) ELSE array() END"))
     looked = looked.withColumn("flat", F.expr("CASE WHEN size(posts) > 0 THEN concat(' ', array_join(w, ' '), ' ') END"))
     held = F.array_compact(F.array(*[F.when(F.col("flat").contains(f" {p} "), F.lit(i)) for i, p in enumerate(phrases)]))

@@ -73,6 +73,19 @@ def test_licences(spark):
     assert licenses.scan(docs(spark, "a").limit(0)).count() == 0
 
 
+def test_licences_stand_beside_each_other(spark):
+    notices = {}
+    for label, text, _ in licenses.TEMPLATES:
+        notices.setdefault(label, text)
+    sets = [[label] for label in notices] + [["apache-2.0", "bsd", "cc-by-4.0"], list(notices), list(notices)[::-1]]
+    texts = [" end of it. ".join(notices[x] for x in s) for s in sets]
+    out = {x.doc_id: set(x["labels"].split(",")) for x in licenses.scan(docs(spark, *texts)).collect()}
+    alone = {s[0]: out[i] for i, s in enumerate(sets) if len(s) == 1}
+    assert all(label in found for label, found in alone.items())
+    for i, s in enumerate(sets):
+        assert set().union(*(alone[x] for x in s)) <= out[i]
+
+
 def talk(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
 
