@@ -77,10 +77,11 @@ def newest_first(spark, d):
 
 
 def closure_missing(spark, d):
-    n, c, o = (table(spark, d, t) for t in ("nation", "customer", "orders"))
-    contains = n.selectExpr("concat('r', n_regionkey) AS parent", "concat('n', n_nationkey) AS child").union(c.selectExpr("concat('n', c_nationkey)", "concat('c', c_custkey)")).union(o.selectExpr("concat('c', o_custkey)", "concat('o', o_orderkey)"))
-    every = graph.closure(contains, spark.createDataFrame([(0, "r1")], "root int, node string"))
-    have = contains.selectExpr("child AS id").union(spark.createDataFrame([("r1",)], "id string")).where("right(id, 1) <> '7'").distinct()
+    r, n, c, o, l = (table(spark, d, t) for t in ("region", "nation", "customer", "orders", "lineitem"))
+    contains = n.selectExpr("concat('r', n_regionkey) AS parent", "concat('n', n_nationkey) AS child").union(c.selectExpr("concat('n', c_nationkey)", "concat('c', c_custkey)")).union(o.selectExpr("concat('c', o_custkey)", "concat('o', o_orderkey)")).union(l.selectExpr("concat('o', l_orderkey)", "concat('l', l_orderkey, ':', l_linenumber)"))
+    roots = r.selectExpr("0 AS root", "concat('r', r_regionkey) AS node")
+    every = graph.closure(contains, roots)
+    have = contains.selectExpr("child AS id").union(roots.selectExpr("node AS id")).where("right(id, 1) <> '7'").distinct()
     return graph.missing(every, have)
 
 

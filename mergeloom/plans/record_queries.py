@@ -151,22 +151,22 @@ SELECT count(*) FILTER (r = 'clean') AS clean, count(*) FILTER (r = 'union') AS
 
 def _edited(spark, d):
     """Texts cut into lines of words, and two edited versions of each."""
-    b = table(spark, d, "benchmark").select("item_id", F.regexp_replace("text", "([a-z]+) ", "$1\n").alias("base"))
-    return b.select("item_id", "base", F.regexp_replace("base", "the", "THE").alias("ours"), F.concat(F.regexp_replace("base", "(?m)^of$", "OF\nMORE"), F.lit("\n")).alias("theirs"))
+    b = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "([a-z]+) ", "$1\n").alias("base"))
+    return b.select("doc_id", "base", F.regexp_replace("base", "the", "THE").alias("ours"), F.concat(F.regexp_replace("base", "(?m)^of$", "OF\nMORE"), F.lit("\n")).alias("theirs"))
 
 
 def line_diff(spark, d):
     e = _edited(spark, d).withColumn("x", textdiff.diff_udf("base", "theirs"))
-    return e.select("item_id", "x.distance", F.size("x.edits").alias("edits"), (F.array_join(textdiff.applied(F.col("x.edits")), "\n") == F.regexp_replace("theirs", "\n$", "")).alias("replayed"))
+    return e.select("doc_id", "x.distance", F.size("x.edits").alias("edits"), (F.array_join(textdiff.applied(F.col("x.edits")), "\n") == F.regexp_replace("theirs", "\n$", "")).alias("replayed"))
 
 
 def unified_diff(spark, d):
-    return _edited(spark, d).select("item_id", textdiff.unified_udf("base", "ours").alias("diff"))
+    return _edited(spark, d).select("doc_id", textdiff.unified_udf("base", "ours").alias("diff"))
 
 
 def diff3_merge(spark, d):
     m = _edited(spark, d).withColumn("m", textdiff.merge3_udf("base", "ours", "theirs"))
-    return m.select("item_id", "m.clean", "m.text", F.size("m.conflicts").alias("conflicts"))
+    return m.select("doc_id", "m.clean", "m.text", F.size("m.conflicts").alias("conflicts"))
 
 
 for _f in (merge_fields_scalar, merge_conflicts, merge_totals, merge_record_deletes, merged_documents, merge_set, merge_sequence, merge_timestamp, merge_log, canonical_records, merge_preview, line_diff, unified_diff, diff3_merge):

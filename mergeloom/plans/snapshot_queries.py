@@ -206,9 +206,9 @@ UNION ALL SELECT 'c' || o_custkey, id FROM ci UNION ALL SELECT 'c' || o_custkey
 
 
 def word_novelty(spark, d):
-    b = table(spark, d, "benchmark")
+    b = table(spark, d, "documents")
     name = F.substring_index("text", " ", 3)
-    return b.select("item_id", paths.adds_information(F.col("text"), name).alias("informative"), F.size(paths.telling_words(F.col("text"))).cast("bigint").alias("words"))
+    return b.select("doc_id", paths.adds_information(F.col("text"), name).alias("informative"), F.size(paths.telling_words(F.col("text"))).cast("bigint").alias("words"))
 
 
 _FILLER = ", ".join(f"'{w}'" for w in paths.FILLER)

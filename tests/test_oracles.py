@@ -69,3 +69,21 @@ def test_whole_tables(spark, name, size, cut):
     got = con.execute(entry.oracle_sql()[name].replace(cut, ""))
     names = [x[0] for x in got.description]
     assert by_text(df.select(*names).collect()) == by_text(got.fetchall())
+
+
+def test_texts_and_closures_are_whole(spark, duck):
+    import __spark_entry__ as entry
+
+    q = entry.queries()
+    n = duck.execute("select count(*) from documents").fetchone()[0]
+    for name in ("word_novelty", "line_diff", "unified_diff", "diff3_merge"):
+        assert q[name](spark, SF).count() == n
+    longest = duck.execute("select doc_id, text from documents order by length(text) desc limit 1").fetchone()
+    x = {r.doc_id: r for r in q["line_diff"](spark, SF).collect()}
+    assert x[longest[0]].edits > 1000 and all(r.replayed for r in x.values() if r.replayed is not None)
+    nodes = "select 'r' || r_regionkey from region union select 'n' || n_nationkey from nation join region on r_regionkey = n_regionkey"
+    nodes += " union select 'c' || c_custkey from customer join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey"
+    whole = "orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey"
+    nodes += f" union select 'o' || o_orderkey from {whole} union select 'l' || l_orderkey || ':' || l_linenumber from lineitem join ({whole}) on o_orderkey = l_orderkey"
+    want = duck.execute(f"select x from ({nodes}) t(x) where right(x, 1) = '7'").fetchall()
+    assert sorted(r.node for r in q["closure_missing"](spark, SF).collect()) == sorted(r[0] for r in want)
