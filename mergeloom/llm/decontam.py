@@ -11,6 +11,8 @@ some `window` aligned words hold at least `share` equal ones.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +21,11 @@ from .scratch import stored
 
 #: Three masks of 10 words with 7 that count.
 MASKS = ("1101110011", "1110010111", "1011011101")
+#: With it, 13 words have a seed wherever up to two of them are substituted.
+MORE = "0101110111"
 WINDOW, SHARE = 13, 0.8
+#: Items of fewer words are left out.
+SHORTEST = 3
 #: A benchmark of up to this many seeds (some 32 MB) is broadcast; a larger one is joined by shuffle.
 BROADCAST_SEEDS = 1_000_000
 
@@ -43,33 +49,48 @@ def _seeded(df: DataFrame, keys: list[str], masks: tuple[str, ...]) -> DataFrame
     return places.select(*keys, "at", F.explode(F.expr(f"array({', '.join(each)})")).alias("h"))
 
 
-def alignments(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS) -> DataFrame:
+def whole(n: int, share: float) -> tuple[str, ...]:
+    """Masks over all of n words, one of which ignores every substituted word while `share` of n are equal.
+
+    The words are cut into two blocks more than there may be substitutions, where there are
+    that many, and each mask ignores as many blocks as there may be substitutions.
+    """
+    wrong = n - math.ceil(n * share - 1e-9)
+    blocks = min(n, wrong + 2)
+    return tuple("".join("0" if k * blocks // n in out else "1" for k in range(n)) for out in combinations(range(blocks), wrong))
+
+
+def alignments(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = (*MASKS, MORE), window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """(ik, rk, item, delta), distinct: where seeds of a document and of an item agree.
 
-    docs: ik, rk, w; benchmark: item, w.
+    docs: ik, rk, w; benchmark: item, w. An item of fewer words than `window` has seeds over
+    the whole of it as well.
     """
-    items = stored(_seeded(benchmark, ["item"], masks).select("h", "item", F.col("at").alias("item_at")), "seeds")
+    short = [r[0] for r in benchmark.select(F.size("w")).where(F.size("w") < window).distinct().collect()]  # a row a length
+    groups = [(masks, benchmark), *((whole(n, share), benchmark.where(F.size("w") == n)) for n in sorted(short))]
+    seeds = [_seeded(b, ["item"], m) for m, b in groups]
+    places = [_seeded(docs, ["ik", "rk"], m) for m, _ in groups]
+    items = stored(reduce(DataFrame.union, seeds).select("h", "item", F.col("at").alias("item_at")), "seeds")
     n = items.count()
-    hits = _seeded(docs, ["ik", "rk"], masks).join(F.broadcast(items) if n <= BROADCAST_SEEDS else items, "h")
+    hits = reduce(DataFrame.union, places).join(F.broadcast(items) if n <= BROADCAST_SEEDS else items, "h")
     return hits.select("ik", "rk", "item", (F.col("at") - F.col("item_at")).alias("delta")).distinct()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, masks: tuple[str, ...] = MASKS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, masks: tuple[str, ...] = (*MASKS, MORE), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, rk, n_words, contaminated, n_items, items, best), a row for each row of docs.
 
     items: contained item ids, ascending, comma-joined; best: the most equal words in
     a window over its length (null without any alignment). An item of fewer words than
-    `window` is compared as a whole, one shorter than the masks never matches. Null and
+    `window` is compared as a whole, one shorter than SHORTEST never matches. Null and
     empty texts, on either side, match nothing; rows with null ids are judged like
     others, but a null item id is not named. Equal rows get equal results.
     """
-    span = len(masks[0])
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("ik"), F.xxhash64(id_col, text_col).alias("rk"), words(F.col(text_col)).alias("w"))
     # Items with the same words stand for each other: only one of them is aligned.
-    items = benchmark.select(F.col(item_col).cast("long").alias("id"), words(F.col(item_text)).alias("w")).where(F.size("w") >= span)
+    items = benchmark.select(F.col(item_col).cast("long").alias("id"), words(F.col(item_text)).alias("w")).where(F.size("w") >= SHORTEST)
     items = items.groupBy("w").agg(F.sort_array(F.collect_set("id")).alias("ids")).select(F.xxhash64("w").alias("item"), "ids", "w")
     items = stored(items, "items")
-    found = stored(alignments(keyed, items, masks), "hits")
+    found = stored(alignments(keyed, items, masks, window, share), "hits")
     pairs = found.join(F.broadcast(items) if items.count() <= BROADCAST_SEEDS // 50 else items, "item")
     per = pairs.join(keyed.select("ik", "rk", F.col("w").alias("dw")).dropDuplicates(["ik", "rk"]), ["ik", "rk"])
     per = per.withColumn("lo", F.greatest(F.lit(0), -F.col("delta"))).withColumn("hi", F.expr("least(size(w), size(dw) - delta)"))

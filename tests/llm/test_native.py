@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from itertools import combinations
 
 import pytest
 
@@ -59,6 +60,24 @@ def test_decontamination_random(spark):
                 assert any(sum(a == b for a, b in zip(t[p : p + n], it[q : q + n], strict=False)) >= 0.8 * n for p in range(len(t) - n + 1) for q in range(len(it) - n + 1))
 
 
+def test_decontamination_misses_no_substitutions(spark):
+    items = [[f"i{n}w{k}" for k in range(n)] for n in (3, 4, 5, 7, 9, 10, 11, 12, 13, 15)]
+    texts, want = [], []
+    for i, it in enumerate(items):
+        n = len(it)
+        for wrong in range(4 if n == 15 else 3):
+            for gone in combinations(range(n), wrong):
+                if n == 15:
+                    ok = any(sum(k in gone for k in range(a, a + 13)) <= 2 for a in range(3))
+                else:
+                    ok = 10 * (n - wrong) >= 8 * n
+                texts.append(" ".join(["x y", *("other" if k in gone else w for k, w in enumerate(it)), "z"]))
+                want.append(str(i) if ok else "")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    out = {x.doc_id: x["items"] for x in decontam.contamination(docs(spark, *texts), bench).collect()}
+    assert [out[i] for i in range(len(texts))] == want
+
+
 def test_licences(spark):
     texts = ["Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3. gnu general public license", None, "", "cc by cc by", "Mit Licenſe", "an apache license" + " x" * 3000 + " mit license", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "LİCENSE MIT license"]
     out = {x.doc_id: x for x in licenses.scan(docs(spark, *texts)).collect()}
