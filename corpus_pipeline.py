@@ -30,10 +30,13 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies, once; documents without an id stay."""
-    found = simhash.near_duplicates(docs)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The document with the smallest id, then hash, of each group of near copies, once; documents without an id stay."""
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    fps = stored(simhash.fingerprints(keyed, id_col="_key"), "fp")
+    member = fps.join(simhash.components(fps), "fp").select(F.col("id").alias("_key"), "root").dropDuplicates(["_key"])
+    rows = keyed.where("doc_id is not null").select("doc_id", "_key").join(member, "_key")
+    first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "_key")).alias("f")).select("f.doc_id", "f._key")
+    named = keyed.join(first, ["doc_id", "_key"], "left_semi").dropDuplicates(["doc_id", "_key"])
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 

@@ -118,6 +118,13 @@ def links(fps: DataFrame, radius: int = 2, small: int = 48) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
+def components(fps: DataFrame) -> DataFrame:
+    """(fp, root): each distinct fingerprint of fps with the one that stands for its component."""
+    distinct = stored(fps.select("fp").distinct(), "distinct")
+    roots = connected(links(distinct))
+    return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id), a row for each row of docs.
 

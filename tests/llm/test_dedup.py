@@ -167,3 +167,15 @@ def test_early_stop_is_exact():
     i, j = embeddings.compare(a, b, turn, 0.9)
     u, v = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (a, b))
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*(k.tolist() for k in np.nonzero(u @ v.T >= 0.9)), strict=True))
+
+
+def test_pipeline_keeps_other_texts_of_an_id(spark):
+    import corpus_pipeline
+
+    r = random.Random(12)
+    text = lambda: " ".join(f"w{r.randint(0, 9999)}" for _ in range(200))
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(1, a), (5, b), (5, c), (5, c), (7, c), (1, d), (2, d), (9, a), (None, a)]
+    out = corpus_pipeline.simhash_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    key = lambda x: (x[0] or 0, x[1])
+    assert sorted((tuple(x) for x in out.collect()), key=key) == sorted([(1, a), (5, b), (5, c), (1, d), (None, a)], key=key)
