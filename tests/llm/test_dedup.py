@@ -112,14 +112,76 @@ def test_passages(spark, width, gram, batches):
     assert substring.deduplicated(df.limit(0), width, gram, batches).count() == 0
 
 
+def passages(r, n, width, vocab, first=0, step=3):
+    shared = [[r.choice(vocab) for _ in range(r.randint(width - 2, 3 * width))] for _ in range(4)]
+    rows = []
+    for i in range(n):
+        ws = []
+        for _ in range(r.randint(0, 4)):
+            ws += r.choice(shared) if r.random() < 0.6 else [r.choice(vocab) for _ in range(r.randint(0, 2 * width))]
+        rows.append((first + i * step, " ".join(ws)))
+    return rows
+
+
+def outcome(df):
+    return sorted(((x.id, x.n_words, x.n_removed, x.kept_sha256) for x in df.collect()), key=str)
+
+
+@pytest.mark.parametrize("salted", [1, 1024])
+def test_hot_fingerprints_are_dealt_by_window(spark, monkeypatch, salted):
+    """Many documents with one passage in changing surroundings; tasks that hold few windows at once."""
+    monkeypatch.setattr(substring, "SALTED", salted)
+    monkeypatch.setattr(substring, "HELD", 200)
+    r = random.Random(8)
+    vocab = [f"w{i}" for i in range(300)]
+    hot = [r.choice(vocab) for _ in range(14)]
+    rows = [(i, " ".join([r.choice(vocab) for _ in range(r.randint(0, 9))] + hot[r.randint(0, 3) :] + [r.choice(vocab[:3]) for _ in range(r.randint(0, 9))])) for i in range(150)]
+    rows.append((151, " ".join(hot * 3000)))  # a very long text
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert outcome(substring.deduplicated(df, 8, 3)) == brute_passages(rows, 8)
+
+
 def test_index_is_incremental(spark):
+    """Two calls, the second on an index opened from its manifest, give what one call gives."""
+    r = random.Random(21)
+    vocab = [f"w{i}" for i in range(60)]
+    rows = passages(r, 60, 7, vocab)
+    rows += [(1000, rows[3][1]), (1000, rows[3][1]), (1001, None)]
+    frame = lambda x: spark.createDataFrame(x, "doc_id long, text string").repartition(3)
+    index = substring.FingerprintIndex(spark, 7, 3)
+    first = outcome(substring.added(index, frame(rows[:30]), 3))
+    later = substring.FingerprintIndex(spark, manifest=index.manifest())
+    second = outcome(substring.added(later, frame(rows[30:]), 2))
+    assert sorted(first + second, key=str) == brute_passages(rows, 7)
+    assert any(x[2] for x in second)
+
+
+def test_runs_are_merged_in_place(spark):
+    """Runs are joined without a shuffle or a sort, and two of one level become one of the next."""
     fps = lambda *x: spark.createDataFrame(x, "fp long, id long, rk long")
-    index = substring.FingerprintIndex(spark, fan_in=2)
-    assert {x.fp for x in index.append(fps((1, 1, 0), (2, 1, 0))).where("seen").collect()} == set()
-    assert {x.fp for x in index.append(fps((2, 5, 0), (3, 5, 0))).where("seen").collect()} == {2}
-    index.compact()
-    assert len(index.runs) == 1 and {(x.fp, x.n, x.low) for x in index.all().collect()} == {(1, 1, 1), (2, 2, 1), (3, 1, 5)}
-    assert {x.fp for x in index.repeated().collect()} == {2}
+    index = substring.FingerprintIndex(spark)
+    assert index.append(fps((1, 1, 0), (2, 1, 0))).collect() == []
+    assert [tuple(x) for x in index.append(fps((2, 5, 0), (3, 5, 0), (3, 6, 0))).where("fp = 2").collect()] == [(2, 2)]
+    assert index.compacted == 1 and [x[0] for x in index.runs] == [1]
+    index.append(fps((1, 7, 0)))
+    assert [x[0] for x in index.runs] == [1, 0]
+    (_, _, a), (_, _, b) = index.runs
+    with substring._merging(spark):
+        plan = a.join(b.withColumnRenamed("n", "m").hint("merge"), "fp")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    index.append(fps((1, 8, 0)))
+    assert [x[0] for x in index.runs] == [2] and index.compacted == 3
+    assert {(x.fp, x.n) for x in index.runs[0][2].collect()} == {(1, 3), (2, 2), (3, 2)}
+
+
+def test_unequal_words_are_noticed(spark, monkeypatch):
+    """If all words had the same hash, stretches would be found that the words don't bear out."""
+    monkeypatch.setattr(substring.xxhash, "xxh64_intdigest", lambda w: 7)
+    df = spark.createDataFrame([(1, "a b c d e"), (2, "f g h i j")], "doc_id long, text string")
+    keyed = substring._keyed(df, "doc_id", "text").withColumn("spans", substring.F.expr("array(named_struct('a', 0, 'b', 5, 'digest', X'00'))"))
+    batch = keyed.select("id", "rk", "text", "spans").toArrow().to_batches()
+    with pytest.raises(substring.Unequal):
+        list(substring._finish(iter(batch)))
 
 
 def brute_links(rows, threshold):
