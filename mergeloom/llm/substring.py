@@ -33,8 +33,8 @@ from .scratch import forget, new_path, stored
 WIDTH, GRAM = 50, 8
 #: Windows that a task holds before it compares them.
 HELD = 1 << 21
-#: A fingerprint has a key more for each so many documents that have it.
-SALTED = 1024
+#: A fingerprint of so many documents is hot: its windows are dealt out by their hashes, over a key for each SHARE documents.
+SALTED, SHARE = 1024, 16
 
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 
@@ -242,7 +242,7 @@ class FingerprintIndex:
     def _covered(self, shared: DataFrame) -> DataFrame:
         """(id, rk, a, b, oid, ork, oa): stretches [a, b) of words whose windows also start, from word oa on, in the smaller document oid."""
         prints = _united([p for _, p in self.prints])
-        salts = (1 + F.floor(F.col("n") / SALTED)).cast("int").alias("salts")
+        salts = F.when(F.col("n") < SALTED, 1).otherwise(F.ceil(F.col("n") / SHARE)).cast("int").alias("salts")
         wanted = prints.join(shared.select("fp", salts), "fp").groupBy("id", "rk").agg(F.collect_list(F.struct("fp", "salts")).alias("fps"))
         rows = _united([t.join(wanted, ["id", "rk"]).select("id", "rk", "text", "fps").mapInArrow(_emit(self.width, self.gram), _OUT) for _, t in self.texts])
         rows = stored(rows, "windows")

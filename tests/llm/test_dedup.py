@@ -131,6 +131,7 @@ def outcome(df):
 def test_hot_fingerprints_are_dealt_by_window(spark, monkeypatch, salted):
     """Many documents with one passage in changing surroundings; tasks that hold few windows at once."""
     monkeypatch.setattr(substring, "SALTED", salted)
+    monkeypatch.setattr(substring, "SHARE", 4)
     monkeypatch.setattr(substring, "HELD", 200)
     r = random.Random(8)
     vocab = [f"w{i}" for i in range(300)]
