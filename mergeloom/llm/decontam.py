@@ -26,8 +26,10 @@ MORE = "0101110111"
 WINDOW, SHARE = 13, 0.8
 #: Items of fewer words are left out.
 SHORTEST = 3
-#: A benchmark of up to this many seeds (some 32 MB) is broadcast; a larger one is joined by shuffle.
-BROADCAST_SEEDS = 1_000_000
+#: Seeds or items of up to so many bytes are broadcast; more are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
+#: Bytes of a seed: hash, item, place and what a row takes.
+SEED_BYTES = 32
 
 
 def words(text: Column) -> Column:
@@ -72,7 +74,7 @@ def alignments(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = (
     places = [_seeded(docs, ["ik", "rk"], m) for m, _ in groups]
     items = stored(reduce(DataFrame.union, seeds).select("h", "item", F.col("at").alias("item_at")), "seeds")
     n = items.count()
-    hits = reduce(DataFrame.union, places).join(F.broadcast(items) if n <= BROADCAST_SEEDS else items, "h")
+    hits = reduce(DataFrame.union, places).join(F.broadcast(items) if n * SEED_BYTES <= BROADCAST_BYTES else items, "h")
     return hits.select("ik", "rk", "item", (F.col("at") - F.col("item_at")).alias("delta")).distinct()
 
 
@@ -80,10 +82,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     """(doc_id, rk, n_words, contaminated, n_items, items, best), a row for each row of docs.
 
     items: contained item ids, ascending, comma-joined; best: the most equal words in
-    a window over its length (null without any alignment). An item of fewer words than
+    a window over its length (null without a contained item). An item of fewer words than
     `window` is compared as a whole, one shorter than SHORTEST never matches. Null and
     empty texts, on either side, match nothing; rows with null ids are judged like
-    others, but a null item id is not named. Equal rows get equal results.
+    others, but a null item id is not named. Equal rows get equal results, equal items
+    are all named, and ties between places make no difference. Very long texts are read
+    whole.
     """
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("ik"), F.xxhash64(id_col, text_col).alias("rk"), words(F.col(text_col)).alias("w"))
     # Items with the same words stand for each other: only one of them is aligned.
@@ -91,16 +95,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     items = items.groupBy("w").agg(F.sort_array(F.collect_set("id")).alias("ids")).select(F.xxhash64("w").alias("item"), "ids", "w")
     items = stored(items, "items")
     found = stored(alignments(keyed, items, masks, window, share), "hits")
-    pairs = found.join(F.broadcast(items) if items.count() <= BROADCAST_SEEDS // 50 else items, "item")
+    weight = items.agg(F.sum(F.octet_length(F.array_join("w", " ")) + 16 * F.size("w") + 8 * F.size("ids") + 64)).first()[0] or 0
+    pairs = found.join(F.broadcast(items) if weight <= BROADCAST_BYTES else items, "item")
     per = pairs.join(keyed.select("ik", "rk", F.col("w").alias("dw")).dropDuplicates(["ik", "rk"]), ["ik", "rk"])
     per = per.withColumn("lo", F.greatest(F.lit(0), -F.col("delta"))).withColumn("hi", F.expr("least(size(w), size(dw) - delta)"))
-    per = per.withColumn("m", F.expr("transform(sequence(lo, hi - 1), j -> IF(w[j] = dw[j + delta], 1, 0))"))
+    # both texts are cut to the words that lie side by side
+    per = per.select("ik", "rk", "ids", F.size("w").alias("n"), F.expr("slice(w, lo + 1, hi - lo)").alias("a"), F.expr("slice(dw, lo + delta + 1, hi - lo)").alias("b"))
+    per = per.select("ik", "rk", "ids", "n", F.expr("zip_with(a, b, (x, y) -> IF(x = y, 1, 0))").alias("m"))
     per = per.withColumn("win", F.expr(f"least({window}, size(m))"))
     per = per.withColumn("top", F.expr("array_max(transform(sequence(1, size(m) - win + 1), k -> aggregate(slice(m, k, win), 0, (a, x) -> a + x)))"))
     least = F.when(F.col("win") >= window, F.lit(math.ceil(window * share - 1e-9))).otherwise(F.ceil(F.col("win") * share))
     # A stretch below the window's length counts only where it is all of the item.
-    whole = (F.col("win") >= window) | (F.size("m") == F.size("w"))
+    whole = (F.col("win") >= window) | (F.size("m") == F.col("n"))
     judged = per.select("ik", "rk", "ids", (F.col("top") / F.col("win")).alias("best"), (whole & (F.col("top") >= least)).alias("ok"))
-    top = judged.groupBy("ik", "rk").agg(F.max("best").alias("best"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("ok"), F.col("ids")))))).alias("ids"), F.max("ok").alias("contaminated"))
+    top = judged.groupBy("ik", "rk").agg(F.max(F.when(F.col("ok"), F.col("best"))).alias("best"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("ok"), F.col("ids")))))).alias("ids"), F.max("ok").alias("contaminated"))
     out = keyed.select("doc_id", "ik", "rk", F.size("w").cast("long").alias("n_words")).join(top, ["ik", "rk"], "left")
     return out.select("doc_id", "rk", "n_words", F.coalesce("contaminated", F.lit(False)).alias("contaminated"), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_items"), F.coalesce(F.array_join(F.transform("ids", lambda x: x.cast("string")), ","), F.lit("")).alias("items"), F.round("best", 6).alias("best"))
