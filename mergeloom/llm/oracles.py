@@ -43,7 +43,8 @@ CAST(sum(chars) AS BIGINT) AS formatted_chars, true AS round_trip FROM f GROUP B
 
 
 def op3_licenses() -> str:
-    texts = ", ".join(f"({i}, '{label}', '{text}', [{', '.join(repr(k) for k in keys)}])" for i, (label, text, keys) in enumerate(licenses.TEMPLATES))
+    """Every indexed word of a document is looked up; a key phrase counts only at its place."""
+    texts = ", ".join(f"({i}, '{label}', '{' '.join(ws)}', [{', '.join(f'{{p: {k!r}, pl: {at}, n: {len(k.split())}}}' for k, at in keys)}])" for i, (label, ws, keys) in enumerate(licenses.TEMPLATES))
     cases = " ".join("WHEN " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split())) + f" THEN '{label}'" for p, label in licenses.PHRASES)
     return rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -54,11 +55,9 @@ tw AS (SELECT t, i - 1 AS k, string_split(text, ' ')[i] AS x FROM templates, unn
 df AS (SELECT x, count(DISTINCT doc_id) AS df FROM (SELECT DISTINCT x FROM tw) LEFT JOIN e USING (x) GROUP BY x),
 rare AS (SELECT t, x FROM (SELECT t, x, row_number() OVER (PARTITION BY t ORDER BY df, x) AS rn FROM (SELECT DISTINCT t, x FROM tw) JOIN df USING (x)) WHERE rn <= {licenses.INDEXED}),
 size AS (SELECT t, count(*) AS size FROM rare GROUP BY t),
-here AS (SELECT DISTINCT doc_id, x FROM e WHERE x IN (SELECT x FROM rare)),
-top AS (SELECT doc_id, x FROM (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY df, x) AS rn FROM here JOIN df USING (x)) WHERE rn <= {licenses.LOOKED_UP}),
-agreed AS (SELECT e.doc_id, tw.t, e.i - tw.k AS delta, count(DISTINCT e.x) AS n FROM e JOIN top ON top.doc_id = e.doc_id AND top.x = e.x JOIN tw ON tw.x = e.x JOIN rare ON rare.t = tw.t AND rare.x = tw.x GROUP BY ALL),
-flat AS (SELECT doc_id, ' ' || array_to_string(w, ' ') || ' ' AS s FROM d WHERE doc_id IN (SELECT doc_id FROM agreed)),
-found AS (SELECT a.doc_id, p.label, a.n / z.size AS share FROM agreed a JOIN size z USING (t) JOIN templates p USING (t) JOIN flat f USING (doc_id) WHERE a.n >= least({licenses.AGREE}, z.size) AND len(list_filter(p.keys, lambda k: NOT contains(f.s, ' ' || k || ' '))) = 0),
+agreed AS (SELECT e.doc_id, tw.t, e.i - tw.k AS delta, count(DISTINCT e.x) AS n FROM e JOIN tw ON tw.x = e.x JOIN rare ON rare.t = tw.t AND rare.x = tw.x GROUP BY ALL),
+cand AS (SELECT a.doc_id, a.delta, p.label, a.n / z.size AS share, d.w, p.keys FROM agreed a JOIN size z USING (t) JOIN templates p USING (t) JOIN d USING (doc_id) WHERE a.n >= least({licenses.AGREE}, z.size)),
+found AS (SELECT doc_id, label, share FROM cand WHERE len(list_filter(keys, lambda k: delta + k.pl < 1 OR array_to_string(list_slice(w, delta + k.pl, delta + k.pl + k.n - 1), ' ') <> k.p)) = 0),
 own AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM found GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(b.labels, ','), '') AS base_labels,
 array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(o.labels, [])))), ',') AS labels, greatest(coalesce(share, 0.0), CASE WHEN n_base > 0 THEN 0.5 ELSE 0.0 END) AS score
@@ -66,21 +65,19 @@ FROM d LEFT JOIN base b ON b.doc_id = d.doc_id LEFT JOIN own o ON o.doc_id = d.d
 
 
 def op1_decontamination() -> str:
-    span = len(decontam.MASKS[0])
-    seeds = ", ".join("concat_ws(' ', '" + m + "', " + ", ".join(f"w[i + {k}]" for k, c in enumerate(m) if c == "1") + ")" for m in decontam.MASKS)
+    """Without seeds: all alignments with enough equal words are judged."""
     words = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
-    laid = f"unnest(range(1, len(w) - {span - 2})) u(i)"
+    enough = f"ceil(least({decontam.WINDOW}, n) * {decontam.SHARE} - 1e-9)"
     return rf"""
-WITH d AS (SELECT doc_id, {words} AS w FROM documents), b AS (SELECT item_id, {words} AS w FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, i, unnest([{seeds}]) AS h FROM d, {laid} WHERE len(w) >= {span}),
-bs AS (SELECT DISTINCT item_id, i, unnest([{seeds}]) AS h FROM b, {laid} WHERE len(w) >= {span}),
-pairs AS (SELECT DISTINCT doc_id, item_id, ds.i - bs.i AS delta FROM ds JOIN bs USING (h)),
+WITH d AS (SELECT doc_id, {words} AS w FROM documents), b AS (SELECT item_id, w, len(w) AS n FROM (SELECT item_id, {words} AS w FROM benchmark) WHERE len(w) >= {decontam.SHORTEST}),
+dw AS (SELECT doc_id, i, w[i] AS x FROM d, unnest(range(1, len(w) + 1)) u(i)), bw AS (SELECT item_id, n, i, w[i] AS x FROM b, unnest(range(1, len(w) + 1)) u(i)),
+pairs AS (SELECT doc_id, item_id, dw.i - bw.i AS delta FROM dw JOIN bw USING (x) GROUP BY doc_id, item_id, n, dw.i - bw.i HAVING count(*) >= {enough}),
 m AS (SELECT p.doc_id, p.item_id, delta, b.w AS iw, list_transform(range(greatest(0, -delta), least(len(b.w), len(d.w) - delta)), lambda j: CASE WHEN b.w[j + 1] = d.w[j + delta + 1] THEN 1 ELSE 0 END) AS m FROM pairs p JOIN d USING (doc_id) JOIN b USING (item_id)),
 t AS (SELECT *, least({decontam.WINDOW}, len(m)) AS win FROM m),
 s AS (SELECT *, list_max(list_transform(range(1, len(m) - win + 2), lambda k: list_sum(list_slice(m, k, k + win - 1)))) AS top FROM t),
-j AS (SELECT doc_id, item_id, top / win AS best, (win >= {decontam.WINDOW} OR len(m) = len(iw)) AND top >= ceil(win * {decontam.SHARE} - 1e-9) AS ok FROM s),
-g AS (SELECT doc_id, max(best) AS best, bool_or(ok) AS contaminated, list_sort(list(DISTINCT item_id) FILTER (ok)) AS ids FROM j GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(contaminated, false) AS contaminated, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items, coalesce(array_to_string(ids, ','), '') AS items, round(best, 6) AS best FROM d LEFT JOIN g USING (doc_id)"""
+j AS (SELECT doc_id, item_id, top / win AS best FROM s WHERE (win >= {decontam.WINDOW} OR len(m) = len(iw)) AND top >= ceil(win * {decontam.SHARE} - 1e-9)),
+g AS (SELECT doc_id, max(best) AS best, list_sort(list(DISTINCT item_id)) AS ids FROM j GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, ids IS NOT NULL AS contaminated, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items, coalesce(array_to_string(ids, ','), '') AS items, round(best, 6) AS best FROM d LEFT JOIN g USING (doc_id)"""
 
 
 def every() -> dict[str, str]:
