@@ -2,8 +2,8 @@
 
 Vectors are turned into principal axes, the widest first: dot products stay, and
 their leading part comes early. Each label's distinct vectors are sorted along
-the first axes and cut into tiles. Two tiles are compared only where their
-extents leave room for a pair, and a pair only as long as what it has so far,
+the first axes and cut into tiles. Tiles meet by the cells that they cover, and
+are compared only where their extents leave room for a pair, and a pair only as long as what it has so far,
 plus the product of the norms of the two rests, can still reach the threshold.
 Pairs that remain are decided by the double-precision cosine of the vectors
 themselves. A comparison of two tiles returns sums and a spanning forest, never
@@ -12,6 +12,7 @@ the pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -195,8 +196,15 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, tile: int =
     meta = tiles.select("tile", "label", "dim", "low", "high")
     reach = 2 - 2 * threshold + SLACK  # squared distance of two unit vectors at the threshold
     gap = F.expr("aggregate(zip_with(zip_with(low, high2, (a, b) -> a - b), zip_with(low2, high, (a, b) -> a - b), (p, q) -> greatest(p, q, 0D)), 0D, (s, g) -> s + g * g)")
-    other = meta.select("label", "dim", F.col("tile").alias("tile2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    pairs = meta.join(other, ["label", "dim"]).where("tile <= tile2").where(gap <= reach).select("tile", "tile2")
+    # tiles meet in the cells that they cover on the first two axes, one of them widened by the reach; a pair counts in the first cell that both have
+    far = math.sqrt(reach)
+    cell = max(far, 1 / 16)
+    place = lambda c, i, by: F.floor((F.coalesce(F.get(c, F.lit(i)), F.lit(0.0)) + by) / cell)
+    laid = lambda by: meta.select("*", *[place(c, i, s * by).alias(f"{c[0]}{i}") for i in (0, 1) for c, s in (("low", -1), ("high", 1))]).withColumn("c0", F.explode(F.sequence("l0", "h0"))).withColumn("c1", F.explode(F.sequence("l1", "h1")))
+    one = laid(0.0).select("label", "dim", "c0", "c1", "tile", "low", "high", "l0", "l1")
+    other = laid(far).select("label", "dim", "c0", "c1", F.col("tile").alias("tile2"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("l0").alias("m0"), F.col("l1").alias("m1"))
+    met = one.join(other, ["label", "dim", "c0", "c1"]).where("tile <= tile2 and c0 = greatest(l0, m0) and c1 = greatest(l1, m1)")
+    pairs = met.where(gap <= reach).select("tile", "tile2")
     # dealt by tile, whatever the label, so that a label with most vectors is spread over all tasks
     left = tiles.select("tile", "dim", "nodes", "weights", "vectors")
     right = tiles.select(F.col("tile").alias("tile2"), F.col("nodes").alias("nodes2"), F.col("weights").alias("weights2"), F.col("vectors").alias("vectors2"))
