@@ -18,24 +18,56 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|</([a-zA-Z][^\s/>]*+)[^>]*+>|<([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+#: Characters of pages that a task reads at once, or one longer page.
+PAGES_CHARS = 1 << 22
+#: The last alternatives take a tag with a stray quote up to the first >, and one that the page breaks off in.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|</([a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)|</[^a-zA-Z>][^>]*+(?:>|\Z)|</>|<([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 PART = re.compile(r"[a-z]+")
 #: Elements by how they are read.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 UNREAD = frozenset("script style template noscript iframe svg object head title textarea select button canvas audio video math".split())
+#: Of the unread, those whose content is text up to their end tag, and those that run to the end of the page without one.
+RAW = frozenset("script style title textarea iframe noscript".split())
+ENDLESS = frozenset("script style title textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening element ends an open one of these, up to one of those.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tbody", "thead", "tr", "td", "th"}, {"table"})}
+_BLOCK = re.compile(r"</?(?:" + "|".join(sorted(BLOCKS, key=lambda t: (-len(t), t))) + r")(?=[\s/>])", re.I)
 TAGS = ("#text", "article", "aside", "blockquote", "div", "figure", "footer", "form", "h1", "h2", "header", "li", "main", "nav", "p", "section", "table", "ul")
 
 
+def _after(tag: str, source: str, at: int) -> int:
+    """Where the page goes on behind an unread element that opens before at.
+
+    Elements of one name may be nested, but not in raw text. One without an end holds
+    what stands before the next block element, so that it takes no more of the page along.
+    """
+    depth = 1
+    for m in _edges(tag).finditer(source, at):
+        depth += -1 if m[1] else tag not in RAW
+        if not depth:
+            return m.end()
+    if tag in ENDLESS:
+        return len(source)
+    if tag == "head":
+        return at
+    m = _BLOCK.search(source, at)
+    return m.start() if m else len(source)
+
+
+@cache
+def _edges(tag: str) -> re.Pattern:
+    return re.compile(rf"<(/)?{tag}(?=[\s/>])[^>]*>", re.I)
+
+
 class Page:
     """The nodes of a page, parents first: tag, names, parent, and text for runs."""
 
@@ -79,27 +111,21 @@ class Page:
             if not m:
                 break
             at = m.end()
-            end, start = m[1], m[2]
+            end, start, given = m[1], m[2] or m[4], m[3] or m[5] or ""
             if start:
                 tag = start.lower()
                 if tag in UNREAD:
-                    if not m[3].endswith("/") or tag in ("script", "style", "title", "textarea"):
-                        stop = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
-                        if stop:
-                            at = stop.end()
-                        elif tag == "head":
-                            pass
-                        else:
-                            at = len(source)
+                    if not given.endswith("/") or tag in ENDLESS:
+                        at = _after(tag, source, at)
                 elif tag in BLOCKS:
                     flush()
                     link = 0
                     self._close_for(tag, stack)
                     if tag in ("html", "body") and any(self.tag[i] == tag for i in stack):
                         continue
-                    names = tuple(w for a in ATTRIBUTE.finditer(m[3]) for w in PART.findall((a[2] or a[3] or a[4] or "").lower())) if m[3] else ()
+                    names = tuple(w for a in ATTRIBUTE.finditer(given) for w in PART.findall((a[2] or a[3] or a[4] or "").lower())) if given else ()
                     i = self._add(tag, names, stack[-1])
-                    if tag not in VOID and not m[3].endswith("/"):
+                    if tag not in VOID and not given.endswith("/"):
                         stack.append(i)
                 elif tag == "br":
                     run.append(" ")
@@ -425,16 +451,25 @@ def extracted(pages: DataFrame, model: Model | None = None, id_col: str = "page_
     """(page_id, url, text, n_chars), a row for each row of pages.
 
     Null and empty pages, and pages without a kept run, have the empty text. Unclosed and
-    stray tags are read as browsers do where it matters here. Rows with null or repeated
-    ids and urls are read like others. An empty table gives an empty result.
+    stray tags are read as browsers do where it matters here; no tag is ever text. Rows
+    with null or repeated ids and urls are read like others, and equal pages alike. Very
+    long pages are read whole: a task holds the nodes of up to 200 pages, or of one that
+    has PAGES_CHARS characters. A node whose two labellings are equally likely is dropped.
+    An empty table gives an empty result.
     """
     model = model or train()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for at in range(0, batch.num_rows, 200):
-                texts += extract([x or "" for x in batch.column(2).slice(at, 200).to_pylist()], model)
+            some, size = [], 0
+            for x in batch.column(2):
+                some.append(x.as_py() or "")
+                size += len(some[-1])
+                if len(some) == 200 or size > PAGES_CHARS:
+                    texts += extract(some, model)
+                    some, size = [], 0
+            texts += extract(some, model)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     given = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
