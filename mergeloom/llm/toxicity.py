@@ -10,8 +10,10 @@ The SVM is trained on sentences: all of a harmless document, and of a toxic
 document those that look toxic, at least one, chosen anew in each round. A logistic
 curve over a document's two most toxic sentences gives its score.
 
-The classifier learns from at most `max_docs` labelled documents a class, taken
-in the order of a hash of their id; its bounded size is a parameter.
+The classifier learns from at most `max_docs` toxic and twice as many other labelled
+documents, with at most `max_bytes` of text, taken in the order of a hash of their
+id; both bounds are parameters. The largest value over a sentence's words is a feature
+made of kernel values, not a kernel between sentences itself.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDER, DECAY = 3, 0.6
@@ -30,7 +32,10 @@ ORDER, DECAY = 3, 0.6
 LEAST, SHARED, REACH = 0.25, 0.6, 2
 #: Letters of a word compared at once; longer words are cut into overlapping stretches.
 LONGEST = 24
-CACHE = 800_000
+#: Words whose kernel values a worker keeps; when full, it starts anew.
+CACHE = 400_000
+#: Bytes of text that the training sample has at most, a third of them for toxic documents.
+MAX_BYTES = 48 << 20
 #: Digits and signs that stand for letters.
 LOOKS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 #: Codes of the places before and after a word; letters outside a-z share the codes above.
@@ -360,15 +365,23 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Trains on labelled documents: those of docs that labels has, at most max_docs toxic ones and twice as many others."""
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 1000, max_bytes: int = MAX_BYTES, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Trains on labelled documents: those of docs that labels has, at most max_docs toxic ones and twice as many others.
+
+    Of rows that repeat an id the least text counts, and any toxic label. Documents go on
+    being taken, in the order of a hash of their id, while their texts have under max_bytes;
+    equal hashes go by id.
+    """
     known = labels.where(f"`{id_col}` is not null and toxic is not null").groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max("toxic").alias("toxic"))
     total = {int(r[0] > 0): r[1] for r in known.groupBy(F.col("toxic") > 0).agg(F.count("*")).collect()}
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.coalesce(text_col, F.lit("")), "UTF-8").alias("text"))
     texts, toxic = [], []
     for y, n in ((1, max_docs), (0, 2 * max_docs)):
         ids = known.where((F.col("toxic") > 0) == bool(y)).orderBy(F.xxhash64("id"), "id").limit(n).select("id")
-        got = sorted((r.id, bytes(r.text)) for r in rows.join(F.broadcast(ids), "id").collect())
+        own = rows.join(F.broadcast(ids), "id").groupBy("id").agg(F.min("text").alias("text"))  # n rows at most
+        so_far = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))
+        own = own.withColumn("so_far", so_far).where(F.col("so_far") <= (max_bytes // 3 if y else max_bytes - max_bytes // 3))
+        got = sorted((r.id, bytes(r.text)) for r in own.select("id", "text").collect())
         texts += [t for _, t in got]
         toxic += [y] * len(got)
     n = sum(total.values())
@@ -380,7 +393,8 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     score is the probability of label 1 from the text alone. Null, empty and wordless
     texts have the score of a text without any likeness to an insult. Rows with null or
-    repeated ids are scored like others; no rows give no rows.
+    repeated ids are scored like others, and equal texts alike; very long texts are read
+    whole. No rows give no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
