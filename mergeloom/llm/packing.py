@@ -151,18 +151,32 @@ def piece_encoder(tokenizer_path: str):
     return tiktoken.Encoding("pieces", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
 
 
+#: Plain words of all kinds, by which piece_encoder is compared with the tokenizer in each task.
+PROBE = "the Quick brown-fox jumped over 1234 lazy dogs' I'm they'll x=y+z; http://example.org/a_b?c=1 na\xefve CAF\xc9 \xfcber antidisestablishmentarianism zzyzx q aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa ~~~ ... #$%&@ f(x) 3.14e-10 \x7f\x01".split()
+
+
+def _by_pieces(encode_piece, word: str) -> list[int]:
+    s = word.lower()
+    ids: list[int] = []
+    for piece in (s,) if s.isascii() and s.isalpha() else _PIECES.findall(s):
+        ids += encode_piece(piece.encode() + b"\xff")
+    return ids
+
+
 def word_ids(tokenizer_path: str):
     """A function from a text's bytes to the little-endian 32-bit ids of its words.
 
     The tokenizer never joins across white space, so each word is encoded by itself and
-    kept. Plain words go piece by piece through piece_encoder, the rest through the
-    tokenizer.
+    kept. Plain words go piece by piece through piece_encoder, as long as that agrees with
+    the tokenizer on PROBE, the rest through the tokenizer.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
     encode_piece = piece_encoder(tokenizer_path)
+    if encode_piece is not None and any(_by_pieces(encode_piece, w) != tokenizer.encode(w, add_special_tokens=False).ids for w in PROBE):
+        encode_piece = None  # either library does otherwise by now: the tokenizer has the word
     known: dict[bytes, bytes] = {}
 
     def learn(words: list[bytes]) -> None:
@@ -172,10 +186,7 @@ def word_ids(tokenizer_path: str):
             if encode_piece is None or b"<|" in w or not _PLAIN.fullmatch(s):
                 rest.append(w)
                 continue
-            s = s.lower()
-            ids: list[int] = []
-            for piece in (s,) if s.isascii() and s.isalpha() else _PIECES.findall(s):
-                ids += encode_piece(piece.encode() + b"\xff")
+            ids = _by_pieces(encode_piece, s)
             known[w] = array("I", ids).tobytes() if _LITTLE else np.asarray(ids, "<u4").tobytes()
         for w, e in zip(rest, tokenizer.encode_batch([w.decode() for w in rest], add_special_tokens=False), strict=True):
             known[w] = np.asarray(e.ids, "<u4").tobytes()
