@@ -48,6 +48,26 @@ def _quoted(s: str) -> str:
     return json.dumps(s, ensure_ascii=False)
 
 
+#: Control characters with an escape of their own.
+_ESCAPES = {"\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r"}
+#: White space at the ends of a line: also what Unicode calls a separator, and the byte order mark.
+_SPACE = r"[\s\x{00A0}\x{FEFF}\p{Z}]+"
+
+
+def quoted(text: Column) -> Column:
+    """A JSON text literal, as canonical texts have it."""
+    plain = F.to_json(F.array(text))
+    out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    for i in range(32):
+        out = F.replace(out, F.lit(chr(i)), F.lit(_ESCAPES.get(chr(i), f"\\u{i:04x}")))
+    return F.when(text.rlike(r"[\x00-\x1f]"), F.concat(F.lit('"'), out, F.lit('"'))).otherwise(F.substring(plain, F.lit(2), F.length(plain) - 2))
+
+
+def stripped(text: Column) -> Column:
+    """text without the white space at its ends, of any kind."""
+    return F.regexp_replace(text, rf"^{_SPACE}|{_SPACE}\z", "")
+
+
 def canonical(value: object, level: int = 0) -> str:
     """The canonical text of a parsed JSON value."""
     if value is None:

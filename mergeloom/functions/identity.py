@@ -80,6 +80,11 @@ def commit_id(*args: Column) -> Column:
     return object_id(F.lit("commit"), commit_text(*args))
 
 
+def identity_without_change(tree: Column, items: Column, parents: Column, author: Column, committer: Column, message: Column) -> Column:
+    """The id that a commit would have without a change line: a new commit's change id."""
+    return commit_id(tree, F.lit(None).cast("string"), items, parents, author, committer, message)
+
+
 def parsed_commit(text: Column) -> Column:
     """struct(tree, change_id, items, parents, author, committer, message) of a commit's text."""
     head = F.split(F.substring_index(text, "\n\n", 1), "\n")

@@ -67,7 +67,7 @@ def ignored(path: Column, rules: IgnoreRules) -> Column:
 
 
 def canonical_path(path: Column) -> Column:
-    """No empty, '.' or '..' segment, no NUL."""
+    """No empty, '.' or '..' segment, no NUL, and so no slash at its start."""
     return ~F.exists(F.split(path, "/"), lambda s: s.isin("", ".", "..")) & ~path.contains("\u0000")
 
 
@@ -82,6 +82,31 @@ def ref_name_ok(name: Column) -> Column:
     return segments & ~name.rlike(r"[\x00-\x20\x7f~^:?*\[\]\\]")
 
 
+def remote_name_ok(name: Column) -> Column:
+    """A single segment, not '.' or '..', with none of the characters that refs reserve."""
+    return F.coalesce(~name.isin("", ".", "..") & ~name.rlike(r"[/\\]") & ~name.rlike(r"[\x00-\x20\x7f~^:?*\[\]]"), F.lit(False))
+
+
+def prunable(name: Column) -> Column:
+    """A folder that a walk need not enter: its name is never tracked, and no rule takes it back."""
+    return name.isin(*NEVER_TRACKED)
+
+
+def normal_path(path: Column) -> Column:
+    """path below the root, without '.', '..' and empty segments; null where it leaves the root, is the root or has a NUL."""
+    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(False).alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        up, none = s == "..", s.isin("", ".")
+        size = F.size(acc["parts"])
+        parts = F.when(none, acc["parts"]).when(up, F.slice(acc["parts"], F.lit(1), F.greatest(size - 1, F.lit(0)))).otherwise(F.concat(acc["parts"], F.array(s)))
+        return F.struct(parts.alias("parts"), (acc["out"] | (up & (size == 0))).alias("out"))
+
+    got = F.aggregate(F.split(path, "/"), start, step)
+    bad = path.startswith("/") | path.contains("\u0000") | got["out"] | (F.size(got["parts"]) == 0)
+    return F.when(~bad, F.array_join(got["parts"], "/"))
+
+
 def telling_words(text: Column) -> Column:
     """Lower-case words of a name or sentence that carry content, camel case split."""
     split = F.regexp_replace(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
@@ -99,6 +124,11 @@ def tracking_ref(remote: Column, ref: Column) -> Column:
     return F.when(ref.startswith("refs/heads/"), F.concat(F.lit("refs/remotes/"), remote, F.lit("/"), F.substring(ref, 12, F.length(ref)))).otherwise(ref)
 
 
+def local_name(remote: Column, ref: Column) -> Column:
+    """Where a fetched ref is kept: a branch as the remote's, a tag as it is; null for refs that aren't fetched."""
+    return F.when(ref.startswith("refs/heads/") | ref.startswith("refs/tags/"), tracking_ref(remote, ref))
+
+
 def below(path: Column, prefix: str) -> Column:
     """path is prefix or lies below it; an empty prefix holds all."""
     return (path == prefix) | path.startswith(prefix + "/") if prefix else F.lit(True)

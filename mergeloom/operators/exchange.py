@@ -52,14 +52,14 @@ def import_report(incoming: DataFrame, store: DataFrame, prerequisites: DataFram
 def bundle_lines(objects: DataFrame, refs: dict[str, str], prerequisites: list[str]) -> DataFrame:
     """(part, id, line) of a bundle: marker, header and a line for each object; ordered by part, then id.
 
-    The header lists the objects, so it is built from their sorted ids.
+    Objects aren't listed in the header: their own lines name them, so no row grows with them.
     """
     spark = objects.sparkSession
-    head = objects.agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    text = F.concat(F.lit(f'{{"refs":{json.dumps(refs, separators=(",", ":"))},"prerequisites":{json.dumps(sorted(prerequisites), separators=(",", ":"))},"objects":'), F.to_json("ids"), F.lit("}"))
-    mark = spark.range(1).select(F.lit(0).alias("part"), F.lit("").alias("id"), F.lit(FORMAT).alias("line"))
+    compact = {"separators": (",", ":"), "ensure_ascii": False}
+    text = f'{{"refs":{json.dumps(refs, **compact)},"prerequisites":{json.dumps(sorted(prerequisites), **compact)}}}'
+    head = spark.createDataFrame([(0, "", FORMAT), (1, "", text)], "part int, id string, line string")
     body = objects.select(F.lit(2).alias("part"), "id", F.concat_ws(" ", "type", "id", F.replace(F.replace(F.base64(F.col("payload").cast("binary")), F.lit("\r")), F.lit("\n"))).alias("line"))
-    return mark.union(head.select(F.lit(1), F.lit(""), text)).union(body)
+    return head.union(body)
 
 
 def parsed_line(line: Column) -> Column:

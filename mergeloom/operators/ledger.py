@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.canonical import stripped
+
 
 def change_kind(status: Column) -> Column:
     """created for added, renamed and copied paths, deleted, else modified."""
-    s = F.substring(F.trim(status), 1, 1)
+    s = F.substring(stripped(status), 1, 1)
     return F.when(s.isin("A", "R", "C"), "created").when(s == "D", "deleted").otherwise("modified")
 
 
@@ -57,6 +59,12 @@ def not_allowed(found: DataFrame, allowed: DataFrame, key: str = "email") -> Dat
     return found.select(key).distinct().join(allowed.select(key), key, "left_anti")
 
 
+def verdict(checks: DataFrame, most: int = 5) -> DataFrame:
+    """One row: ok, and the names of the first failed checks (name, passed), in order, most of them."""
+    failed = F.array_sort(F.collect_list(F.when(~F.col("passed"), F.col("name"))))
+    return checks.agg(F.coalesce(F.min("passed"), F.lit(True)).alias("ok"), F.slice(failed, 1, most).alias("failed"), F.count_if(~F.col("passed")).alias("n_failed"))
+
+
 def fence_coverage(expected: DataFrame, committed: DataFrame) -> DataFrame:
     """(pattern, problem): expected patterns that aren't committed, committed ones that aren't expected."""
     lost = expected.join(committed, "pattern", "left_anti").select("pattern", F.lit("missing").alias("problem"))

@@ -47,6 +47,17 @@ def items_touching(commits: DataFrame, links: DataFrame, latest: DataFrame, trac
     return named.union(linked).distinct()
 
 
+def files_of_item(commits: DataFrame, links: DataFrame, latest: DataFrame, traces: DataFrame) -> DataFrame:
+    """(item, file_id, path): files that an item is linked with, or that commits naming it changed; path: its linked or latest one.
+
+    latest: path, file_id, the newest identity of each path.
+    """
+    linked = links.join(latest, "path").select("item", "file_id", "path")
+    named = commits.select(F.col("id").alias("commit"), F.explode("items").alias("item")).join(traces.select("commit", "file_id").distinct(), "commit").select("item", "file_id").distinct()
+    known = named.join(latest, "file_id", "left").select("item", "file_id", "path")
+    return linked.union(known).distinct()
+
+
 def changes_of_item(commits: DataFrame, links: DataFrame, latest: DataFrame, traces: DataFrame) -> DataFrame:
     """(item, change_id): changes that name an item or changed one of its linked files."""
     change = commits.select(F.col("id").alias("commit"), F.coalesce("change_id", "id").alias("change_id"), "items")

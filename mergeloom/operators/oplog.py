@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.canonical import stripped
 from ..schema import OPLOG
 
 
 def parse(lines: DataFrame) -> DataFrame:
     """Receipts of a JSON-lines log (line); blank and unreadable lines are skipped."""
-    got = lines.where(F.trim("line") != "").select(F.from_json("line", OPLOG).alias("r"))
+    got = lines.where(stripped(F.col("line")) != "").select(F.from_json("line", OPLOG).alias("r"))
     return got.select("r.*").where("sequence is not null and command is not null")
 
 

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.canonical import quoted, stripped
+from .graph import BLOCK, numbered
 from .snapshots import three_beside
 
 STRATEGIES = ("scalar", "set", "sequence", "timestamp")
@@ -96,8 +98,8 @@ def merge_fields(base: DataFrame, ours: DataFrame, theirs: DataFrame, policy: Po
 
 def merged_records(fields_: DataFrame) -> DataFrame:
     """(record_id, document, conflicts, changed_fields, clean) from merge_fields' rows."""
-    pair = F.concat(F.to_json(F.array("field")), F.lit(":"), F.col("resolved"))
-    text = F.transform(F.array_sort(F.collect_list(F.when(F.col("resolved").isNotNull(), F.struct("field", pair.alias("p"))))), lambda x: F.regexp_replace(x["p"], r'^\["(.*?)"\]:', '"$1":'))
+    pair = F.concat(quoted(F.col("field")), F.lit(":"), F.col("resolved"))
+    text = F.transform(F.array_sort(F.collect_list(F.when(F.col("resolved").isNotNull(), F.struct("field", pair.alias("p"))))), lambda x: x["p"])
     names = lambda c: F.array_sort(F.collect_list(F.when(F.col(c), F.col("field"))))
     return fields_.groupBy("record_id").agg(F.concat(F.lit("{"), F.array_join(text, ","), F.lit("}")).alias("document"), names("conflict").alias("conflicts"), names("changed").alias("changed_fields"), (~F.max("conflict")).alias("clean"))
 
@@ -110,25 +112,36 @@ def totals(fields_: DataFrame) -> DataFrame:
 def merge_log(base: DataFrame, ours: DataFrame, theirs: DataFrame, key: list[str] | None = None) -> DataFrame:
     """(key, seq, line): the union of append-only logs (key, pos, line), each line as often as the side that has it most.
 
-    Lines come in the order base, ours, theirs; the first arrivals of a line stay. They
-    are sorted by time text, then arrival; a line without a text `at` has the time of
-    the last line before it, at first the empty text. The key names the log.
+    Lines lose the white space at their ends, blank ones go. They come in the order base,
+    ours, theirs; the first arrivals of a line stay. They are sorted by time text, then
+    arrival; a line without a text `at` has the time of the last line before it, at first
+    the empty text. The key names the log. Arrivals are numbered over all logs and
+    worked on in blocks, so neither a long log nor a frequent line is one group of rows.
     """
     key = key or []
-    sides = [d.select(*key, F.lit(i).alias("side"), "pos", F.trim("line").alias("line")).where("line <> ''") for i, d in enumerate((base, ours, theirs))]
-    every = sides[0].unionByName(sides[1]).unionByName(sides[2])
+    sides = [d.select(*key, F.lit(i).alias("side"), "pos", stripped(F.col("line")).alias("line")).where("line <> ''") for i, d in enumerate((base, ours, theirs))]
+    every = numbered(sides[0].unionByName(sides[1]).unionByName(sides[2]), [*key, "side", "pos", "line"], "arrival").withColumn("block", F.floor(F.col("arrival") / BLOCK))
     most = every.groupBy(*key, "line", "side").agg(F.count("*").alias("n")).groupBy(*key, "line").agg(F.max("n").alias("most"))
-    again = Window.partitionBy(*key, "line").orderBy("side", "pos")
-    kept = every.join(most, [*key, "line"]).withColumn("rn", F.row_number().over(again)).where("rn <= most")
+    earlier = lambda *by: Window.partitionBy(*key, *by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = every.groupBy(*key, "line", "block").agg(F.count("*").alias("n")).select(*key, "line", "block", F.coalesce(F.sum("n").over(earlier("line")), F.lit(0)).alias("before"))
+    here = Window.partitionBy(*key, "line", "block").orderBy("arrival")
+    kept = every.withColumn("rn", F.row_number().over(here)).join(counts, [*key, "line", "block"]).join(most, [*key, "line"]).where("rn + before <= most")
     at = F.when(F.expr("schema_of_variant(variant_get(try_parse_json(line), '$.at', 'variant')) = 'STRING'"), F.get_json_object("line", "$.at"))
-    arrival = Window.partitionBy(*key).orderBy("side", "pos")
-    timed = kept.withColumn("at", F.coalesce(F.last(at, ignorenulls=True).over(arrival.rowsBetween(Window.unboundedPreceding, 0)), F.lit("")))
-    order = Window.partitionBy(*key).orderBy("at", "side", "pos")
-    return timed.withColumn("seq", F.row_number().over(order)).select(*key, "seq", "line")
+    kept = kept.select(*key, "side", "pos", "line", "arrival", "block", at.alias("own"))
+    last = kept.groupBy(*key, "block").agg(F.max_by("own", F.when(F.col("own").isNotNull(), F.col("arrival"))).alias("last"))
+    carried = last.select(*key, "block", F.last("last", ignorenulls=True).over(earlier()).alias("carry"))
+    inside = Window.partitionBy(*key, "block").orderBy("arrival").rowsBetween(Window.unboundedPreceding, 0)
+    timed = kept.withColumn("at", F.last("own", ignorenulls=True).over(inside)).join(carried, [*key, "block"])
+    timed = timed.select(*key, F.coalesce("at", "carry", F.lit("")).alias("at"), "arrival", "line")
+    placed = numbered(timed, [*key, "at", "arrival"], "place")
+    if not key:
+        return placed.select((F.col("place") + 1).cast("int").alias("seq"), "line")
+    first = placed.groupBy(*key).agg(F.min("place").alias("first"))
+    return placed.join(first, key).select(*key, (F.col("place") - F.col("first") + 1).cast("int").alias("seq"), "line")
 
 
 def shown(record_fields: DataFrame) -> DataFrame:
     """(record_id, text): a record with a field a line, sorted, for diffs; never hashed."""
-    line = F.struct("field", F.concat(F.lit('"'), "field", F.lit('": '), "value").alias("t"))
+    line = F.struct("field", F.concat(quoted(F.col("field")), F.lit(": "), "value").alias("t"))
     g = record_fields.groupBy("record_id").agg(F.array_sort(F.collect_list(line)).alias("x"))
     return g.select("record_id", F.concat(F.array_join(F.transform("x", lambda s: s["t"]), "\n"), F.lit("\n")).alias("text"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.paths import prunable
+
 
 def beside(left: DataFrame, right: DataFrame, key: list[str], values: list[str], names: tuple[str, str] = ("l", "r"), how: str = "full") -> DataFrame:
     """key, and the values of both sides as structs; a side without the key is null."""
@@ -14,14 +16,16 @@ def beside(left: DataFrame, right: DataFrame, key: list[str], values: list[str],
 
 
 def three_beside(base: DataFrame, ours: DataFrame, theirs: DataFrame, key: list[str], values: list[str]) -> DataFrame:
-    """key, and the values of three sides as structs b, o and t, by one shuffle of their union.
+    """key, and the values of three sides as structs b, o and t.
 
-    The key must be unique on each side. Compared with two full joins, nothing is
-    joined twice, and rows of one key are summed before the shuffle.
+    One shuffle and one sort of the sides' union; keys are unique on a side, so nothing is
+    to be gained by summing before the shuffle. A key that a side has twice raises.
     """
     sides = [d.select(*key, *[(F.struct(*values) if s == n else F.lit(None)).alias(n) for n in "bot"]) for s, d in zip("bot", (base, ours, theirs), strict=True)]
-    every = sides[0].unionByName(sides[1]).unionByName(sides[2])
-    return every.groupBy(*key).agg(*[F.first(n, ignorenulls=True).alias(n) for n in "bot"])
+    every = sides[0].unionByName(sides[1]).unionByName(sides[2]).repartition(*key)
+    both = every.groupBy(*key).agg(*[F.first(n, ignorenulls=True).alias(n) for n in "bot"], F.greatest(*[F.count(n) for n in "bot"]).alias("most"))
+    one = lambda n: F.when(F.col("most") <= 1, F.col(n)).otherwise(F.raise_error(F.lit("a side has a key twice"))).alias(n)
+    return both.select(*key, one("b"), "o", "t")
 
 
 def kind_of(before: Column, after: Column, same: Column) -> Column:
@@ -68,6 +72,17 @@ def materialise_plan(index: DataFrame, target: DataFrame) -> DataFrame:
     return write.union(index.join(target.select("path"), "path", "left_anti").select("path", F.lit("delete").alias("action")))
 
 
+def emptied_folders(folders: DataFrame, files: DataFrame) -> DataFrame:
+    """(folder): folders (path) below which no file (path) is left, and none that is never entered."""
+    part = F.split("path", "/")
+    above = files.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(part)), lambda n: F.array_join(F.slice(part, F.lit(1), n - 1), "/"))).alias("folder"))
+    last = F.element_at(part, -1)
+    own = F.transform(F.sequence(F.lit(1), F.size(part)), lambda n: F.array_join(F.slice(part, F.lit(1), n), "/"))
+    fixed = folders.where(prunable(last)).select(F.explode(own).alias("folder"))
+    held = above.union(fixed).where("folder <> ''").distinct()
+    return folders.select(F.col("path").alias("folder")).distinct().join(held, "folder", "left_anti")
+
+
 def moves_and_copies(old: DataFrame, new: DataFrame, still_there: DataFrame) -> DataFrame:
     """(path, source, kind, file_id, copied_from) for new paths that come from exactly one old entry.
 

@@ -2,72 +2,93 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..functions.identity import derived_file_id, tree_bytes
-from .graph import cut
+from ..functions.canonical import quoted
+from ..functions.identity import derived_file_id, is_file_id, object_id
+from ..shared import new_path
+from .graph import counted, cut
 from .snapshots import three_beside
 
 DIRECTORY = "40000"
 ENTRY = ["id", "mode", "file_id", "copied_from"]
+#: The label from which the identities of forked paths are derived.
+FORKED = "merged identity"
 
 
 def flatten(entries: DataFrame, roots: DataFrame, most_depth: int = 1_000) -> DataFrame:
     """(root, path, id, mode, file_id, copied_from) of the trees in roots (root, tree_id).
 
-    One join a level of directories; each tree is walked once, so pass distinct roots.
+    One join a level, of directories only; files are joined once, at the end. Each tree is
+    walked once, so pass distinct roots.
     """
-    open_ = roots.select("root", "tree_id", F.lit("").alias("prefix"))
-    out = None
+    inner = entries.where(F.col("mode") == DIRECTORY).select("tree_id", "name", F.col("id").alias("sub"))
+    open_ = cut(roots.select("root", "tree_id", F.lit("").alias("prefix")))
+    every = [open_]
     for _ in range(most_depth):
-        here = cut(open_.join(entries, "tree_id").select("root", F.concat("prefix", "name").alias("path"), *ENTRY))
-        files = here.where(F.col("mode") != DIRECTORY)
-        out = files if out is None else out.union(files)
-        open_ = here.where(F.col("mode") == DIRECTORY).select("root", F.col("id").alias("tree_id"), F.concat("path", F.lit("/")).alias("prefix"))
-        if open_.isEmpty():
-            return out
-    raise RuntimeError("directories are nested deeper than most_depth")
-
-
-def tree_id_udf(header: str):
-    """Grouped aggregate: the id of the tree that holds a group's entries (structs)."""
-    import hashlib
-
-    @F.pandas_udf("string")
-    def tree_id(entries: pd.Series) -> pd.Series:
-        def one(es) -> str:
-            payload = tree_bytes([dict(e) if isinstance(e, dict) else e.asDict() for e in es], header)
-            return hashlib.sha256(f"tree {len(payload)}\0".encode() + payload).hexdigest()
-
-        return entries.map(one)
-
-    return tree_id
+        open_, n = counted(open_.join(inner, "tree_id").select("root", F.col("sub").alias("tree_id"), F.concat("prefix", "name", F.lit("/")).alias("prefix")))
+        if not n:
+            break
+        every.append(open_)
+    else:
+        raise RuntimeError("directories are nested deeper than most_depth")
+    files = entries.where(F.col("mode") != DIRECTORY)
+    return reduce(DataFrame.union, every).join(files, "tree_id").select("root", F.concat("prefix", "name").alias("path"), *ENTRY)
+
+
+def tree_payload(entries: Column, header: str) -> Column:
+    """A tree's text from its entries (structs with name first, sorted); raises for entries that no tree can hold."""
+    folder = lambda e: e["mode"] == DIRECTORY
+    any_id = lambda e: e["file_id"].isNotNull() | e["copied_from"].isNotNull()
+    ill = lambda c: c.isNotNull() & ~is_file_id(c)
+    bad_name = lambda e: F.coalesce((e["name"] == "") | e["name"].contains("/") | e["name"].contains("\0"), F.lit(True))
+    bad_id = lambda e: (folder(e) & any_id(e)) | ill(e["file_id"]) | ill(e["copied_from"]) | (e["copied_from"].isNotNull() & (e["file_id"].isNull() | (e["file_id"] == e["copied_from"])))
+    names = F.transform(entries, lambda e: e["name"])
+    plain = F.array_join(F.transform(entries, lambda e: F.concat(e["mode"], F.lit(" "), e["name"], F.lit("\0"), e["id"])), "")
+    hex_ = lambda c: F.coalesce(F.concat(F.lit('"'), c, F.lit('"')), F.lit("null"))
+    line = lambda e: F.concat(F.lit("["), F.concat_ws(",", hex_(e["mode"]), hex_(e["id"]), hex_(e["file_id"]), hex_(e["copied_from"]), quoted(e["name"])), F.lit("]"))
+    rich = F.concat(F.lit(header + "\n"), F.array_join(F.transform(entries, line), "\n"))
+    text = F.when(F.exists(entries, any_id), rich).otherwise(plain)
+    fail = lambda why: F.raise_error(F.lit(why)).cast("string")
+    return F.when(F.exists(entries, bad_name), fail("bad name in a tree")).when(F.exists(entries, bad_id), fail("bad identity in a tree")).when(F.size(F.array_distinct(names)) < F.size(names), fail("a name twice in a tree")).otherwise(text)
 
 
 def build(files: DataFrame, header: str = "tree 2") -> DataFrame:
     """(root, dir, tree_id) of every directory of files (root, path, id, mode, file_id, copied_from); dir '' is the top.
 
-    From the deepest directories up, one aggregation a level: each group of entries is
-    encoded and hashed, and becomes an entry of the level above.
+    Files are split by directory and written once. From the deepest directories up, each
+    level is one aggregation over its own files and the entries of the level below it;
+    entries are encoded and hashed by column expressions.
     """
-    tree_id = tree_id_udf(header)
     cut_name = lambda p: F.element_at(F.split(p, "/"), -1)
     dir_of = lambda p: F.when(F.contains(p, F.lit("/")), F.regexp_replace(p, "/[^/]*$", "")).otherwise("")
     depth_of = lambda d: F.when(d == "", 0).otherwise(F.size(F.split(d, "/")))
-    rows = files.select("root", dir_of(F.col("path")).alias("dir"), F.struct(cut_name(F.col("path")).alias("name"), *ENTRY).alias("e")).withColumn("depth", depth_of(F.col("dir")))
+    rows = files.select("root", dir_of(F.col("path")).alias("dir"), F.struct(cut_name(F.col("path")).alias("name"), *ENTRY).alias("e"))
+    none = F.lit(None).cast("string")
+    path = new_path(files.sparkSession, "graph")
+    rows.withColumn("depth", depth_of(F.col("dir"))).write.partitionBy("depth").parquet(path)
+    rows = files.sparkSession.read.schema(StructType([*rows.schema.fields, StructField("depth", IntegerType())])).parquet(path)
     deepest = rows.agg(F.max("depth")).first()[0]
-    out = None
+    made = None
+    out = []
     for d in range(deepest if deepest is not None else -1, -1, -1):
-        made = rows.where(F.col("depth") == d).groupBy("root", "dir").agg(F.collect_list("e").alias("es"))
-        made = cut(made.select("root", "dir", tree_id("es").alias("tree_id")))
-        out = made if out is None else out.union(made)
-        if d:
-            none = F.lit(None).cast("string")
+        here = rows.where(F.col("depth") == d).select("root", "dir", "e")
+        if made is not None:
             up = made.select("root", dir_of(F.col("dir")).alias("up"), F.struct(cut_name(F.col("dir")).alias("name"), F.col("tree_id").alias("id"), F.lit(DIRECTORY).alias("mode"), none.alias("file_id"), none.alias("copied_from")).alias("e"))
-            rows = rows.unionByName(up.select("root", F.col("up").alias("dir"), "e").withColumn("depth", depth_of(F.col("dir"))))
-    return out if out is not None else files.select("root", F.lit("").alias("dir"), F.lit("").alias("tree_id")).where("false")
+            here = here.union(up)
+        made = here.groupBy("root", "dir").agg(F.array_sort(F.collect_list("e")).alias("es"))
+        made = cut(made.select("root", "dir", object_id(F.lit("tree"), tree_payload(F.col("es"), header)).alias("tree_id")))
+        out.append(made)
+    return reduce(DataFrame.union, out) if out else files.select("root", F.lit("").alias("dir"), F.lit("").alias("tree_id")).where("false")
+
+
+def empty_tree(spark: SparkSession) -> str:
+    """The id of a tree without entries."""
+    return spark.range(1).select(object_id(F.lit("tree"), F.lit(""))).first()[0]
 
 
 def _identity(o: Column, t: Column) -> Column:
@@ -80,13 +101,18 @@ def _identity(o: Column, t: Column) -> Column:
 
 
 def merge(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """(path, action, id, mode, file_id, copied_from, reasons) over snapshots (path, id, mode, file_id, copied_from).
+    """merge_open() for callers that don't merge contents."""
+    return merge_open(base, ours, theirs).drop("base_id", "their_id")
+
+
+def merge_open(base: DataFrame, ours: DataFrame, theirs: DataFrame, label: str = FORKED) -> DataFrame:
+    """(path, action, base_id, their_id, id, mode, file_id, copied_from, reasons) over snapshots (path, id, mode, file_id, copied_from).
 
     action: ours, theirs, agree, removed, conflict, or content where both changed a
     file's content and a merge of texts or records must decide (id is then ours);
     reasons: content, mode, identity, sorted. A path that is in no result has null id.
     Of several paths with one identity, the first keeps it, the others get one of their
-    own and become copies.
+    own, derived from label, identity and path, and become copies.
     """
     s = three_beside(base, ours, theirs, ["path"], ENTRY)
     b, o, t = F.col("b"), F.col("o"), F.col("t")
@@ -98,12 +124,12 @@ def merge(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
     both = F.col("action").isin("agree", "content")
     side = F.when(F.col("action") == "theirs", t).otherwise(o)
     why = F.array_compact(F.array(F.when((F.col("action") == "conflict") & gone, "content").when(F.col("action") == "conflict", "mode"), F.when(both & F.col("i.clash"), "identity")))
-    flat = s.select("path", "action", side["id"].alias("id"), side["mode"].alias("mode"), F.when(both, F.col("i.file_id")).otherwise(side["file_id"]).alias("file_id"), F.when(both, F.col("i.copied_from")).otherwise(side["copied_from"]).alias("copied_from"), why.alias("reasons"))
+    flat = s.select("path", "action", b["id"].alias("base_id"), t["id"].alias("their_id"), side["id"].alias("id"), side["mode"].alias("mode"), F.when(both, F.col("i.file_id")).otherwise(side["file_id"]).alias("file_id"), F.when(both, F.col("i.copied_from")).otherwise(side["copied_from"]).alias("copied_from"), why.alias("reasons"))
     flat = flat.withColumn("action", F.when(F.col("id").isNull() & (F.col("action") != "conflict"), "removed").otherwise(F.col("action")))
-    return fork_repeated(flat)
+    return fork_repeated(flat, label)
 
 
-def fork_repeated(files: DataFrame) -> DataFrame:
+def fork_repeated(files: DataFrame, label: str = FORKED) -> DataFrame:
     """Gives all but the first path of an identity one of their own; files: path, id, file_id, copied_from, reasons.
 
     Only identities that stand twice are ranked, so rows without one stay where they are.
@@ -111,8 +137,8 @@ def fork_repeated(files: DataFrame) -> DataFrame:
     twice = files.where("file_id is not null and id is not null").groupBy("file_id").agg(F.count("*").alias("n"), F.min("path").alias("first")).where("n > 1")
     marked = files.join(twice.drop("n"), "file_id", "left")
     again = F.col("first").isNotNull() & F.col("id").isNotNull() & (F.col("path") != F.col("first"))
-    fork = derived_file_id("merged identity", F.col("file_id"), F.col("path"))
-    return marked.select("path", "action", "id", "mode", F.when(again, fork).otherwise(F.col("file_id")).alias("file_id"), F.when(again, F.col("file_id")).otherwise(F.col("copied_from")).alias("copied_from"), F.when(again, F.array_sort(F.array_union("reasons", F.array(F.lit("identity"))))).otherwise(F.array_sort("reasons")).alias("reasons"))
+    fork = derived_file_id(label, F.col("file_id"), F.col("path"))
+    return marked.select("path", "action", "base_id", "their_id", "id", "mode", F.when(again, fork).otherwise(F.col("file_id")).alias("file_id"), F.when(again, F.col("file_id")).otherwise(F.col("copied_from")).alias("copied_from"), F.when(again, F.array_sort(F.array_union("reasons", F.array(F.lit("identity"))))).otherwise(F.array_sort("reasons")).alias("reasons"))
 
 
 def ranked_identities(files: DataFrame) -> DataFrame:

@@ -85,7 +85,10 @@ def closure_missing(spark, d):
     return graph.missing(every, have)
 
 
-SQL["closure_missing"] = "WITH k AS (SELECT c_custkey, n_nationkey FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_regionkey = 1) SELECT node FROM (SELECT DISTINCT 'n' || n_nationkey AS node FROM nation WHERE n_regionkey = 1 UNION SELECT 'c' || c_custkey FROM k UNION SELECT 'o' || o_orderkey FROM orders JOIN k ON o_custkey = c_custkey) WHERE right(node, 1) = '7'"
+SQL["closure_missing"] = """WITH c AS (SELECT c_custkey, n_nationkey, n_regionkey FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey),
+o AS (SELECT o_orderkey FROM orders JOIN c ON o_custkey = c_custkey)
+SELECT node FROM (SELECT 'r' || r_regionkey AS node FROM region UNION SELECT 'n' || n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT 'c' || c_custkey FROM c UNION SELECT 'o' || o_orderkey FROM o
+UNION SELECT 'l' || l_orderkey || ':' || l_linenumber FROM lineitem JOIN o ON l_orderkey = o_orderkey) WHERE right(node, 1) = '7'"""
 
 
 def bundle_export_set(spark, d):
@@ -136,14 +139,20 @@ def push_classify(spark, d):
     return exchange.classify_push(u, edges)
 
 
-SQL["push_classify"] = f"WITH {DAG_SQL.strip()} SELECT t.pair AS name, CASE t.pair % 4 WHEN 0 THEN 'create' WHEN 1 THEN 'no_op' WHEN 2 THEN 'fast_forward' ELSE 'non_fast_forward' END AS class FROM tips t JOIN nodes p ON p.user_id = t.pair AND p.level = 12 AND p.lane = 0"
+SQL["push_classify"] = UP_SQL + """ SELECT t.pair AS name, CASE t.pair % 4 WHEN 0 THEN 'create' WHEN 1 THEN 'no_op' WHEN 2 THEN 'fast_forward' ELSE CASE WHEN coalesce(s.l, false) THEN 'fast_forward' ELSE 'non_fast_forward' END END AS class
+FROM tips t JOIN edges e ON e.child = t."left" AND e.ordinal = 0 LEFT JOIN sides s ON s.pair = t.pair AND s.node = t."right\""""
 
 
 def _conversation_snapshots(spark, d):
-    """Turns as commits that change a file of their role; each conversation is a line of history, dealt by its id."""
+    """Turns as commits: each has its own text and the one of the turn before, as files of their roles that move every four turns."""
     c = table(spark, d, "conversations").where("conv_id is not null and turn is not null")
-    turn = c.select(F.concat("conv_id", F.lit(":"), "turn").alias("commit"), F.concat("conv_id", F.lit("/"), "role").alias("path"), F.sha2("text", 256).alias("id"), F.lit("100644").alias("mode"), F.concat("conv_id", F.lit("/"), "role").alias("file_id"), F.lit(None).cast("string").alias("copied_from"))
-    parents = c.select(F.concat("conv_id", F.lit(":"), "turn").alias("commit"), F.when(F.col("turn") > 0, F.concat("conv_id", F.lit(":"), F.col("turn") - 1)).alias("parent")).distinct()
+    file_id = F.concat("conv_id", F.lit("/"), "role")
+    own = c.select("conv_id", "turn", F.concat(file_id, F.lit("/"), F.floor(F.col("turn") / 4)).alias("path"), F.sha2("text", 256).alias("id"), F.lit("100644").alias("mode"), file_id.alias("file_id"), F.lit(None).cast("string").alias("copied_from"))
+    heads = c.select("conv_id", "turn").distinct()
+    kept = own.withColumn("turn", F.col("turn") + 1).join(heads, ["conv_id", "turn"], "left_semi")
+    commit = F.concat("conv_id", F.lit(":"), "turn").alias("commit")
+    turn = own.union(kept.select(own.columns)).select(commit, "path", "id", "mode", "file_id", "copied_from")
+    parents = heads.select(commit, F.when(F.col("turn") > 0, F.concat("conv_id", F.lit(":"), F.col("turn") - 1)).alias("parent"))
     return turn, parents
 
 
@@ -153,19 +162,24 @@ def trace_entity(spark, d):
     return out.select("commit", "file_id", "kind", F.array_join("paths", ",").alias("paths"))
 
 
-SQL["trace_entity"] = """WITH s AS (SELECT conv_id || ':' || turn AS commit, CASE WHEN turn > 0 THEN conv_id || ':' || (turn - 1) END AS parent, conv_id || '/' || role AS path, sha256(text) AS id FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-b AS (SELECT c.commit, s.path, s.id FROM (SELECT DISTINCT commit, parent FROM s) c JOIN s ON s.commit = c.parent)
-SELECT commit, path AS file_id, CASE WHEN s.id IS NULL THEN 'deleted' WHEN b.id IS NULL THEN 'added' ELSE 'modified' END AS kind, path AS paths FROM s FULL JOIN b USING (commit, path) WHERE s.id IS DISTINCT FROM b.id"""
+SQL["trace_entity"] = """WITH o AS (SELECT conv_id, turn, conv_id || '/' || role || '/' || (turn // 4) AS path, sha256(text) AS id, conv_id || '/' || role AS file_id FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+h AS (SELECT DISTINCT conv_id, turn FROM o),
+s AS (SELECT * FROM o UNION ALL SELECT o.conv_id, o.turn + 1, path, id, file_id FROM o JOIN h ON h.conv_id = o.conv_id AND h.turn = o.turn + 1),
+g AS (SELECT conv_id, turn, file_id, list_sort(list({p: path, i: id})) AS e FROM s GROUP BY ALL),
+t AS (SELECT conv_id, turn, file_id, list_transform(e, lambda x: x.p) AS paths, e[1].i AS id FROM g),
+b AS (SELECT h.conv_id, h.turn, file_id, paths, id FROM h JOIN t ON t.conv_id = h.conv_id AND t.turn = h.turn - 1 WHERE h.turn > 0)
+SELECT conv_id || ':' || turn AS commit, file_id, CASE WHEN t.paths IS NULL THEN 'deleted' WHEN b.paths IS NULL THEN 'added' WHEN t.paths <> b.paths THEN 'moved' ELSE 'modified' END AS kind, array_to_string(coalesce(t.paths, b.paths), ',') AS paths
+FROM t FULL JOIN b USING (conv_id, turn, file_id) WHERE t.paths IS DISTINCT FROM b.paths OR t.id IS DISTINCT FROM b.id"""
 
 
 def resolve_latest(spark, d):
-    c = table(spark, d, "conversations").where("conv_id is not null")
-    snaps = c.select("turn", F.col("role").alias("path"), F.concat("conv_id", F.lit(":"), "turn").alias("commit"), F.concat("conv_id", F.lit(":"), "turn").alias("file_id"), "conv_id")
-    order = snaps.select("commit", (F.col("conv_id") * 1000 + F.col("turn")).alias("seq")).distinct()
-    return lineage.resolve_file_id(snaps, order)
+    c = table(spark, d, "conversations").where("conv_id is not null and turn is not null")
+    commit = F.concat("conv_id", F.lit(":"), "turn").alias("commit")
+    snaps = c.select(F.concat("conv_id", F.lit("/"), "role").alias("path"), commit, commit.alias("file_id"))
+    return lineage.resolve_file_id(snaps, c.select(commit, (-F.col("turn")).alias("seq")).distinct())
 
 
-SQL["resolve_latest"] = "SELECT role AS path, arg_min(conv_id || ':' || turn, conv_id * 1000 + turn) AS file_id FROM conversations WHERE conv_id IS NOT NULL GROUP BY role"
+SQL["resolve_latest"] = "SELECT conv_id || '/' || role AS path, arg_max(conv_id || ':' || turn, turn) AS file_id FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, role"
 
 
 def _ledger(spark, d):
@@ -220,7 +234,7 @@ def ref_resolve(spark, d):
     return oplog.resolve(c.select(F.col("c_custkey").cast("string").alias("name")), refs, c.where("c_custkey % 7 = 0").select(F.col("c_custkey").cast("string").alias("id")))
 
 
-SQL["ref_resolve"] = "SELECT * FROM (SELECT CAST(c_custkey AS VARCHAR) AS name, CASE WHEN c_custkey % 7 = 0 THEN CAST(c_custkey AS VARCHAR) WHEN c_custkey % 2 <> 0 THEN 'refs/heads/' || c_custkey WHEN c_custkey % 3 <> 0 THEN 'refs/tags/' || c_custkey WHEN c_custkey % 5 <> 0 THEN 'refs/remotes/' || c_custkey END AS id FROM customer WHERE c_custkey <= 200) WHERE id IS NOT NULL"
+SQL["ref_resolve"] = "SELECT * FROM (SELECT CAST(c_custkey AS VARCHAR) AS name, CASE WHEN c_custkey % 7 = 0 THEN CAST(c_custkey AS VARCHAR) WHEN c_custkey % 2 <> 0 THEN 'refs/heads/' || c_custkey WHEN c_custkey % 3 <> 0 THEN 'refs/tags/' || c_custkey WHEN c_custkey % 5 <> 0 THEN 'refs/remotes/' || c_custkey END AS id FROM customer) WHERE id IS NOT NULL"
 
 
 def _receipts(spark, d):
@@ -274,12 +288,26 @@ def _chain(spark, d):
     return out
 
 
+def _replayed(every, done):
+    return every.select("k", "i", F.col("id").alias("old")).join(done.where("not dropped").select("old", "id"), "old").select("k", "i", "id")
+
+
 def replay_chain(spark, d):
     every = _chain(spark, d)
-    commits = every.drop("k", "i")
     edited = every.where("i = 1").select(F.col("id").alias("old"), "tree", F.col("id").alias("change_id"), "items", "parents", "author", "committer", F.concat(F.lit("new "), F.col("message")).alias("message"))
-    done = rewrite.replay(commits, edited)
-    return every.select("k", "i", F.col("id").alias("old")).join(done.select("old", "id"), "old").select("k", "i", "id")
+    return _replayed(every, rewrite.replay(every.drop("k", "i"), edited))
+
+
+def describe_chain(spark, d):
+    """The first commit of each chain gets another message."""
+    every = _chain(spark, d)
+    return _replayed(every, rewrite.describe(every.drop("k", "i"), every.where("i = 0").select("id", F.concat(F.lit("other "), "message").alias("message"))))
+
+
+def squash_chain(spark, d):
+    """The third commit of each chain goes into the second."""
+    every = _chain(spark, d)
+    return _replayed(every, rewrite.squash(every.drop("k", "i"), every.where("i = 2").select("id")))
 
 
 def _commit_sql(tree: str, change: str, parent: str, message: str) -> str:
@@ -295,9 +323,19 @@ def _p(c: str) -> str:
     return f"'parent ' || {c} || chr(10)"
 
 
-SQL["replay_chain"] = f"""WITH c0 AS (SELECT c_custkey AS k FROM customer WHERE c_custkey <= 50), c1 AS (SELECT k, {_commit_sql(_t(0), "''", "''", "'m0 ' || k")} AS a FROM c0), c2 AS (SELECT k, a, {_commit_sql(_t(1), "''", _p("a"), "'m1 ' || k")} AS b FROM c1),
-n1 AS (SELECT k, {_commit_sql(_t(1), "'change ' || b || chr(10)", _p("a"), "'new m1 ' || k")} AS id FROM c2), n2 AS (SELECT k, {_commit_sql(_t(2), "''", _p("id"), "'m2 ' || k")} AS id FROM n1), n3 AS (SELECT k, {_commit_sql(_t(3), "''", _p("id"), "'m3 ' || k")} AS id FROM n2)
-SELECT k, 1 AS i, id FROM n1 UNION ALL SELECT k, 2, id FROM n2 UNION ALL SELECT k, 3, id FROM n3"""
+def _c(c: str) -> str:
+    return f"'change ' || {c} || chr(10)"
+
+
+_CHAIN_SQL = f"""WITH o0 AS (SELECT c_custkey AS k FROM customer), o1 AS (SELECT k, {_commit_sql(_t(0), "''", "''", "'m0 ' || k")} AS a FROM o0), o2 AS (SELECT *, {_commit_sql(_t(1), "''", _p("a"), "'m1 ' || k")} AS b FROM o1),
+o3 AS (SELECT *, {_commit_sql(_t(2), "''", _p("b"), "'m2 ' || k")} AS c FROM o2), o4 AS (SELECT *, {_commit_sql(_t(3), "''", _p("c"), "'m3 ' || k")} AS d FROM o3)"""
+SQL["replay_chain"] = f"""{_CHAIN_SQL}, n1 AS (SELECT *, {_commit_sql(_t(1), _c("b"), _p("a"), "'new m1 ' || k")} AS x FROM o4), n2 AS (SELECT *, {_commit_sql(_t(2), _c("c"), _p("x"), "'m2 ' || k")} AS y FROM n1), n3 AS (SELECT *, {_commit_sql(_t(3), _c("d"), _p("y"), "'m3 ' || k")} AS z FROM n2)
+SELECT k, 1 AS i, x AS id FROM n3 UNION ALL SELECT k, 2, y FROM n3 UNION ALL SELECT k, 3, z FROM n3"""
+SQL["describe_chain"] = f"""{_CHAIN_SQL}, n0 AS (SELECT *, {_commit_sql(_t(0), _c("a"), "''", "'other m0 ' || k")} AS w FROM o4), n1 AS (SELECT *, {_commit_sql(_t(1), _c("b"), _p("w"), "'m1 ' || k")} AS x FROM n0),
+n2 AS (SELECT *, {_commit_sql(_t(2), _c("c"), _p("x"), "'m2 ' || k")} AS y FROM n1), n3 AS (SELECT *, {_commit_sql(_t(3), _c("d"), _p("y"), "'m3 ' || k")} AS z FROM n2)
+SELECT k, 0 AS i, w AS id FROM n3 UNION ALL SELECT k, 1, x FROM n3 UNION ALL SELECT k, 2, y FROM n3 UNION ALL SELECT k, 3, z FROM n3"""
+SQL["squash_chain"] = f"""{_CHAIN_SQL}, n1 AS (SELECT *, {_commit_sql(_t(2), _c("b"), _p("a"), "'m1 ' || k || chr(10) || chr(10) || 'm2 ' || k")} AS x FROM o4), n3 AS (SELECT *, {_commit_sql(_t(3), _c("d"), _p("x"), "'m3 ' || k")} AS z FROM n1)
+SELECT k, 1 AS i, x AS id FROM n3 UNION ALL SELECT k, 3, z FROM n3"""
 
-for _f in (dag_reachable, ahead_behind, merge_bases, range_commits, ancestor_check, first_parent_log, topo_level, newest_first, closure_missing, bundle_export_set, bundle_import, bundle_roundtrip, fetch_plan, push_classify, trace_entity, resolve_latest, ledger_items, ledger_totals, items_join, ref_cas, ref_resolve, oplog_latest, oplog_reverse, split_partition, replay_set, replay_chain):
+for _f in (dag_reachable, ahead_behind, merge_bases, range_commits, ancestor_check, first_parent_log, topo_level, newest_first, closure_missing, bundle_export_set, bundle_import, bundle_roundtrip, fetch_plan, push_classify, trace_entity, resolve_latest, ledger_items, ledger_totals, items_join, ref_cas, ref_resolve, oplog_latest, oplog_reverse, split_partition, replay_set, replay_chain, describe_chain, squash_chain):
     Q[_f.__name__] = _f

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import identity
 from ..functions.canonical import canon_json
-from ..operators import ledger, records, textdiff
+from ..operators import ledger, merging, records, textdiff
 from .versions import MERGED_SQL, as_fields, orders, table
 
 Q: dict = {}
@@ -46,14 +47,17 @@ SQL["merge_record_deletes"] = MERGED_SQL + "SELECT record_id, field, base FROM m
 
 
 def merged_documents(spark, d):
-    out = records.merged_records(_merged(spark, d))
+    # a name that needs escapes, and looks like the end of a name
+    named = _merged(spark, d).withColumn("field", F.replace("field", F.lit("status"), F.lit('sta"]:t\\us')))
+    out = records.merged_records(named)
     return out.select("record_id", "document", F.array_join("conflicts", ",").alias("conflicts"), F.array_join("changed_fields", ",").alias("changed_fields"), "clean")
 
 
 SQL["merged_documents"] = (
     MERGED_SQL
-    + """SELECT record_id, '{' || coalesce(string_agg('"' || field || '":' || resolved, ',' ORDER BY field) FILTER (resolved IS NOT NULL), '') || '}' AS document,
-coalesce(string_agg(field, ',' ORDER BY field) FILTER (conflict), '') AS conflicts, coalesce(string_agg(field, ',' ORDER BY field) FILTER (changed), '') AS changed_fields, NOT bool_or(conflict) AS clean FROM merged GROUP BY record_id"""
+    + """, named AS (SELECT * REPLACE (replace(field, 'status', 'sta"]:t' || chr(92) || 'us') AS field), replace(field, 'status', 'sta' || chr(92) || '"]:t' || chr(92) || chr(92) || 'us') AS shown FROM merged)
+SELECT record_id, '{' || coalesce(string_agg('"' || shown || '":' || resolved, ',' ORDER BY field) FILTER (resolved IS NOT NULL), '') || '}' AS document,
+coalesce(string_agg(field, ',' ORDER BY field) FILTER (conflict), '') AS conflicts, coalesce(string_agg(field, ',' ORDER BY field) FILTER (changed), '') AS changed_fields, NOT bool_or(conflict) AS clean FROM named GROUP BY record_id"""
 )
 
 
@@ -111,12 +115,12 @@ SELECT o_orderkey, CASE WHEN NOT both_ THEN CASE WHEN o = b THEN t ELSE o END WH
 
 
 def merge_log(spark, d):
-    e = table(spark, d, "events").withColumn("line", F.expr("""CASE WHEN event_id % 3 = 0 THEN concat('{"at":"', date_format(ts, 'yyyy-MM-dd'), '","k":', event_id % 5, '}') WHEN event_id % 11 = 0 THEN '  ' ELSE concat('note ', event_type) END"""))
+    e = table(spark, d, "events").withColumn("line", F.expr("""CASE WHEN event_id % 3 = 0 THEN concat('{"at":"', date_format(ts, 'yyyy-MM-dd'), '","k":', event_id % 5, '}') WHEN event_id % 11 = 0 THEN ' \\t\\r' WHEN event_id % 13 = 0 THEN concat('\\t', event_type, '\\r') WHEN event_id % 17 = 0 THEN event_type ELSE concat('note ', event_type) END"""))
     side = lambda c: e.where(c).selectExpr("user_id", "event_id AS pos", "line")
     return records.merge_log(side("event_id % 4 < 2"), side("event_id % 4 < 3"), side("event_id % 4 <> 2"), ["user_id"])
 
 
-SQL["merge_log"] = """WITH e AS (SELECT user_id, event_id, trim(CASE WHEN event_id % 3 = 0 THEN '{"at":"' || strftime(ts, '%Y-%m-%d') || '","k":' || (event_id % 5) || '}' WHEN event_id % 11 = 0 THEN '  ' ELSE 'note ' || event_type END) AS line FROM events),
+SQL["merge_log"] = """WITH e AS (SELECT user_id, event_id, trim(CASE WHEN event_id % 3 = 0 THEN '{"at":"' || strftime(ts, '%Y-%m-%d') || '","k":' || (event_id % 5) || '}' WHEN event_id % 11 = 0 THEN ' ' || chr(9) || chr(13) WHEN event_id % 13 = 0 THEN chr(9) || event_type || chr(13) WHEN event_id % 17 = 0 THEN event_type ELSE 'note ' || event_type END, ' ' || chr(9) || chr(13)) AS line FROM events),
 a AS (SELECT user_id, side, event_id AS pos, line FROM e, (VALUES (0), (1), (2)) s(side) WHERE line <> '' AND ((side = 0 AND event_id % 4 < 2) OR (side = 1 AND event_id % 4 < 3) OR (side = 2 AND event_id % 4 <> 2))),
 m AS (SELECT user_id, line, max(n) AS most FROM (SELECT user_id, line, side, count(*) AS n FROM a GROUP BY ALL) GROUP BY ALL),
 k AS (SELECT * FROM (SELECT a.*, most, row_number() OVER (PARTITION BY user_id, line ORDER BY side, pos) AS rn FROM a JOIN m USING (user_id, line)) WHERE rn <= most),
@@ -169,5 +173,88 @@ def diff3_merge(spark, d):
     return m.select("doc_id", "m.clean", "m.text", F.size("m.conflicts").alias("conflicts"))
 
 
-for _f in (merge_fields_scalar, merge_conflicts, merge_totals, merge_record_deletes, merged_documents, merge_set, merge_sequence, merge_timestamp, merge_log, canonical_records, merge_preview, line_diff, unified_diff, diff3_merge):
+#: Texts and records of three versions: ours changes the first line (or lang), theirs the last (or n), or both the same place.
+CONTENTS_SQL = """
+d AS (SELECT doc_id AS k, source || '/' || lang || '/' || doc_id AS path, replace(coalesce(text, ''), chr(10), ' ') AS line, lang, n_chars AS n FROM documents),
+c AS (SELECT k, path, CASE WHEN k % 5 = 0 THEN 'record' ELSE 'blob' END AS type,
+  CASE WHEN k % 5 = 0 THEN '{"lang":"' || lang || '","n":' || n || '}' ELSE 'first' || chr(10) || line || chr(10) || 'last' || chr(10) END AS b,
+  CASE WHEN k % 5 = 0 THEN '{"lang":"ours","n":' || n || '}' ELSE 'ours' || chr(10) || line || chr(10) || 'last' || chr(10) END AS o,
+  CASE WHEN k % 5 = 0 THEN CASE WHEN k % 10 = 0 THEN '{"lang":"theirs","n":' || n || '}' ELSE '{"lang":"' || lang || '","n":' || (n + 1) || '}' END
+    ELSE CASE WHEN k % 7 = 0 THEN 'theirs' ELSE 'first' END || chr(10) || line || chr(10) || CASE WHEN k % 7 <> 0 AND k % 4 <> 0 THEN 'theirs' ELSE 'last' END || chr(10) END AS t,
+  CASE WHEN k % 5 = 0 THEN CASE WHEN k % 10 = 0 THEN '{"lang":"ours","n":' || n || '}' ELSE '{"lang":"ours","n":' || (n + 1) || '}' END
+    WHEN k % 7 = 0 THEN concat_ws(chr(10), '<<<<<<< ours', 'ours', '||||||| base', 'first', '=======', 'theirs', '>>>>>>> theirs', line, 'last', '')
+    WHEN k % 4 = 0 THEN 'ours' || chr(10) || line || chr(10) || 'last' || chr(10) ELSE 'ours' || chr(10) || line || chr(10) || 'theirs' || chr(10) END AS m,
+  CASE WHEN k % 5 = 0 THEN k % 10 = 0 ELSE k % 7 = 0 END AS clash FROM d)
+"""
+
+
+def _contents(spark, d):
+    """(base, ours, theirs, objects); theirs lacks each 11th path, and gives each 23rd another identity."""
+    t = table(spark, d, "documents").selectExpr("doc_id AS k", "concat(source, '/', lang, '/', doc_id) AS path", "replace(coalesce(text, ''), '\\n', ' ') AS line", "lang", "n_chars AS n")
+    record = lambda lang, n: F.concat(F.lit('{"lang":"'), lang, F.lit('","n":'), n.cast("string"), F.lit("}"))
+    text = lambda first, last: F.concat(first, F.lit("\n"), "line", F.lit("\n"), last, F.lit("\n"))
+    k, lang, n, first, last = F.col("k"), F.col("lang"), F.col("n"), F.lit("first"), F.lit("last")
+    rec = k % 5 == 0
+    theirs = F.when(k % 10 == 0, record(F.lit("theirs"), n)).otherwise(record(lang, n + 1))
+    theirs = F.when(rec, theirs).otherwise(text(F.when(k % 7 == 0, "theirs").otherwise(first), F.when((k % 7 != 0) & (k % 4 != 0), "theirs").otherwise(last)))
+    v = t.select("k", "path", F.when(rec, "record").otherwise("blob").alias("type"), F.when(rec, record(lang, n)).otherwise(text(first, last)).alias("b"), F.when(rec, record(F.lit("ours"), n)).otherwise(text(F.lit("ours"), last)).alias("o"), theirs.alias("t"))
+    fid = F.substring(F.sha2(F.concat(F.lit("f"), k.cast("string")), 256), 1, 32)
+    other = F.substring(F.sha2(F.concat(F.lit("t"), k.cast("string")), 256), 1, 32)
+    snap = lambda side, f: v.select("path", identity.object_id(F.col("type"), F.col(side)).alias("id"), F.lit("100644").alias("mode"), f.alias("file_id"), F.lit(None).cast("string").alias("copied_from"), "k")
+    objects = v.select("type", F.explode(F.array("b", "o", "t")).alias("x")).select(identity.object_id(F.col("type"), F.col("x")).alias("id"), "type", F.col("x").cast("binary").alias("payload")).dropDuplicates(["id"])
+    return snap("b", fid).drop("k"), snap("o", fid).drop("k"), snap("t", F.when(k % 23 == 0, other).otherwise(fid)).where("k % 11 <> 0").drop("k"), objects
+
+
+def _files_out(merged):
+    return merged.files.select("path", "action", "id", "mode", "file_id", "copied_from", F.array_join("reasons", ",").alias("reasons"), F.array_join("fields", ",").alias("fields"))
+
+
+def merge_snapshot(spark, d):
+    return _files_out(merging.merge_snapshots(*_contents(spark, d)))
+
+
+def _oid(kind: str, text: str) -> str:
+    return f"sha256({kind} || ' ' || octet_length(encode({text})) || chr(0) || {text})"
+
+
+_FID, _TID = "substr(sha256('f' || k), 1, 32)", "substr(sha256('t' || k), 1, 32)"
+SQL["merge_snapshot"] = f"""WITH {CONTENTS_SQL},
+s AS (SELECT *, k % 11 = 0 AS gone, o <> b AS oc, t <> b OR k % 23 = 0 AS tc FROM c),
+a AS (SELECT *, CASE WHEN gone THEN CASE WHEN oc THEN 'conflict' ELSE 'removed' END WHEN NOT tc THEN 'ours' WHEN NOT oc THEN 'theirs' WHEN o = t THEN 'agree' WHEN clash THEN 'conflict' ELSE 'merged' END AS action, NOT gone AND oc AND tc AND k % 23 = 0 AS id_clash FROM s)
+SELECT path, action, CASE WHEN action = 'removed' THEN NULL WHEN action = 'theirs' THEN {_oid("type", "t")} WHEN action IN ('ours', 'agree') OR gone THEN {_oid("type", "o")} ELSE {_oid("type", "m")} END AS id, CASE WHEN action <> 'removed' THEN '100644' END AS mode,
+CASE WHEN action = 'removed' THEN NULL WHEN id_clash THEN least({_FID}, {_TID}) WHEN action = 'theirs' AND k % 23 = 0 THEN {_TID} ELSE {_FID} END AS file_id, CAST(NULL AS VARCHAR) AS copied_from,
+concat_ws(',', CASE WHEN action = 'conflict' AND (gone OR type = 'blob') THEN 'content' END, CASE WHEN id_clash THEN 'identity' END, CASE WHEN action = 'conflict' AND NOT gone AND type = 'record' THEN 'record' END) AS reasons,
+CASE WHEN action = 'conflict' AND NOT gone AND type = 'record' THEN 'lang' ELSE '' END AS fields FROM a"""
+
+
+def cherry_pick(spark, d):
+    """What ours changed, brought to theirs."""
+    base, ours, theirs, objects = _contents(spark, d)
+    return _files_out(merging.merge_snapshots(base, theirs, ours, objects))
+
+
+_FLIP = "concat_ws(chr(10), '<<<<<<< ours', 'theirs', '||||||| base', 'first', '=======', 'ours', '>>>>>>> theirs', line, 'last', '')"
+SQL["cherry_pick"] = f"""WITH {CONTENTS_SQL},
+s AS (SELECT c.*, d.line, c.k % 11 = 0 AS gone, o <> b AS oc, t <> b OR c.k % 23 = 0 AS tc FROM c JOIN d ON d.k = c.k),
+p AS (SELECT *, CASE WHEN k % 10 = 0 THEN t WHEN type = 'blob' AND k % 7 = 0 THEN {_FLIP} ELSE m END AS x FROM s),
+a AS (SELECT *, CASE WHEN gone THEN CASE WHEN oc THEN 'conflict' ELSE 'removed' END WHEN NOT oc THEN 'ours' WHEN NOT tc THEN 'theirs' WHEN o = t THEN 'agree' WHEN clash THEN 'conflict' ELSE 'merged' END AS action, NOT gone AND oc AND tc AND k % 23 = 0 AS id_clash FROM p)
+SELECT path, action, CASE WHEN gone THEN NULL WHEN action = 'theirs' THEN {_oid("type", "o")} WHEN action IN ('ours', 'agree') THEN {_oid("type", "t")} ELSE {_oid("type", "x")} END AS id, CASE WHEN NOT gone THEN '100644' END AS mode,
+CASE WHEN gone THEN NULL WHEN id_clash THEN least({_FID}, {_TID}) WHEN action = 'ours' AND k % 23 = 0 THEN {_TID} ELSE {_FID} END AS file_id, CAST(NULL AS VARCHAR) AS copied_from,
+concat_ws(',', CASE WHEN action = 'conflict' AND (gone OR type = 'blob') THEN 'content' END, CASE WHEN id_clash THEN 'identity' END, CASE WHEN action = 'conflict' AND NOT gone AND type = 'record' THEN 'record' END) AS reasons,
+CASE WHEN action = 'conflict' AND NOT gone AND type = 'record' THEN 'lang' ELSE '' END AS fields FROM a"""
+
+
+def snapshot_text_diff(spark, d):
+    """Unified diffs of all texts and records that differ between base and theirs."""
+    base, _, theirs, objects = _contents(spark, d)
+    return merging.diff(base, theirs, objects)
+
+
+SQL["snapshot_text_diff"] = f"""WITH {CONTENTS_SQL}, l AS (SELECT c.*, d.lang, d.n, d.line FROM c JOIN d ON d.k = c.k),
+x AS (SELECT *, CASE WHEN type = 'record' THEN '"lang": "' || lang || '"' || chr(10) || '"n": ' || n ELSE 'first' || chr(10) || line || chr(10) || 'last' END AS before FROM l WHERE k % 11 = 0 OR t <> b)
+SELECT path, CASE WHEN k % 11 = 0 THEN '--- a/' || path || chr(10) || '+++ /dev/null' || chr(10) || '@@ -1,' || (CASE WHEN type = 'record' THEN 2 ELSE 3 END) || ' +0,0 @@' || chr(10) || '-' || replace(before, chr(10), chr(10) || '-') || chr(10)
+WHEN type = 'record' THEN '--- a/' || path || chr(10) || '+++ b/' || path || chr(10) || '@@ -1,2 +1,2 @@' || chr(10) || CASE WHEN k % 10 = 0 THEN '-"lang": "' || lang || '"' || chr(10) || '+"lang": "theirs"' || chr(10) || ' "n": ' || n ELSE ' "lang": "' || lang || '"' || chr(10) || '-"n": ' || n || chr(10) || '+"n": ' || (n + 1) END || chr(10)
+ELSE '--- a/' || path || chr(10) || '+++ b/' || path || chr(10) || '@@ -1,3 +1,3 @@' || chr(10) || CASE WHEN k % 7 = 0 THEN '-first' || chr(10) || '+theirs' || chr(10) || ' ' || line || chr(10) || ' last' ELSE ' first' || chr(10) || ' ' || line || chr(10) || '-last' || chr(10) || '+theirs' END || chr(10) END AS text FROM x"""
+
+for _f in (merge_fields_scalar, merge_conflicts, merge_totals, merge_record_deletes, merged_documents, merge_set, merge_sequence, merge_timestamp, merge_log, canonical_records, merge_preview, line_diff, unified_diff, diff3_merge, merge_snapshot, cherry_pick, snapshot_text_diff):
     Q[_f.__name__] = _f

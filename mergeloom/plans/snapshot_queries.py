@@ -118,8 +118,7 @@ SELECT path, source, CASE WHEN there THEN 'copy' ELSE 'move' END AS kind, CASE W
 
 def merge_tree_paths(spark, d):
     out = trees.merge(*files(spark, d))
-    # forked identities hang on a label of our own: only whether one was made is compared
-    return out.select("path", "action", "id", "mode", F.array_join("reasons", ",").alias("reasons"))
+    return out.select("path", "action", "id", "mode", "file_id", "copied_from", F.array_join("reasons", ",").alias("reasons"))
 
 
 _MERGE_SQL = f"""WITH {FILES_SQL},
@@ -131,7 +130,7 @@ r AS (SELECT path, act, CASE WHEN act = 'theirs' THEN ti ELSE oi END AS id, CASE
   act IN ('agree', 'content') AND coalesce(of_ <> tf, false) AS clash, CASE WHEN act = 'conflict' THEN CASE WHEN oi IS NULL OR ti IS NULL THEN 'content' ELSE 'mode' END END AS why FROM a),
 n AS (SELECT *, id IS NOT NULL AND file_id IS NOT NULL AND row_number() OVER (PARTITION BY file_id, id IS NULL ORDER BY path) > 1 AS again FROM r)
 """
-SQL["merge_tree_paths"] = _MERGE_SQL + "SELECT path, CASE WHEN id IS NULL AND act <> 'conflict' THEN 'removed' ELSE act END AS action, id, mode, concat_ws(',', why, CASE WHEN clash OR again THEN 'identity' END) AS reasons FROM n"
+SQL["merge_tree_paths"] = _MERGE_SQL + "SELECT path, CASE WHEN id IS NULL AND act <> 'conflict' THEN 'removed' ELSE act END AS action, id, mode, CASE WHEN again THEN substr(sha256('" + trees.FORKED + "' || chr(0) || file_id || chr(0) || path), 1, 32) ELSE file_id END AS file_id, CASE WHEN again THEN file_id END AS copied_from, concat_ws(',', why, CASE WHEN clash OR again THEN 'identity' END) AS reasons FROM n"
 
 
 def identity_dupes(spark, d):
@@ -195,7 +194,7 @@ def tree_build(spark, d):
 
 _NUL = "chr(0)"
 _HASH = "sha256('tree ' || octet_length(encode(p)) || chr(0) || p)"
-SQL["tree_build"] = f"""WITH {_LINES_SQL}, f AS (SELECT o_custkey, o_orderkey, l_linenumber, min(id) AS id FROM l WHERE o_custkey % 10 = 1 GROUP BY ALL),
+SQL["tree_build"] = f"""WITH {_LINES_SQL}, f AS (SELECT o_custkey, o_orderkey, l_linenumber, min(id) AS id FROM l GROUP BY ALL),
 o AS (SELECT o_custkey, o_orderkey, string_agg('100644 ' || l_linenumber || {_NUL} || id, '' ORDER BY encode(CAST(l_linenumber AS VARCHAR))) AS p FROM f GROUP BY 1, 2),
 oi AS (SELECT *, {_HASH} AS id FROM o),
 c AS (SELECT o_custkey, string_agg('40000 o' || o_orderkey || {_NUL} || id, '' ORDER BY encode('o' || o_orderkey)) AS p FROM oi GROUP BY 1),
@@ -213,18 +212,26 @@ def word_novelty(spark, d):
 
 _FILLER = ", ".join(f"'{w}'" for w in paths.FILLER)
 _WORDS = "list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace({}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda w: length(w) > 1 AND w NOT IN (" + _FILLER + "))"
-SQL["word_novelty"] = f"""WITH w AS (SELECT item_id, {_WORDS.format("text")} AS t, {_WORDS.format("array_to_string(list_slice(string_split(text, ' '), 1, 3), ' ')")} AS n FROM benchmark)
-SELECT item_id, len(t) >= 4 AND len(list_distinct(list_filter(t, lambda x: NOT list_contains(n, x)))) >= 2 AS informative, CAST(len(t) AS BIGINT) AS words FROM w"""
+SQL["word_novelty"] = f"""WITH w AS (SELECT doc_id, {_WORDS.format("text")} AS t, {_WORDS.format("array_to_string(list_slice(string_split(text, ' '), 1, 3), ' ')")} AS n FROM documents)
+SELECT doc_id, len(t) >= 4 AND len(list_distinct(list_filter(t, lambda x: NOT list_contains(n, x)))) >= 2 AS informative, CAST(len(t) AS BIGINT) AS words FROM w"""
 
 
 def identity_audit(spark, d):
-    host = F.regexp_extract("url", r"^https?://([^/]+)", 1)
-    pages = table(spark, d, "pages").select(host.alias("email"))
-    allowed = pages.where(F.col("email").endswith(".org")).distinct()
-    return ledger.not_allowed(pages, allowed)
-
-
-SQL["identity_audit"] = "SELECT DISTINCT regexp_extract(url, '^https?://([^/]+)', 1) AS email FROM pages WHERE NOT suffix(regexp_extract(url, '^https?://([^/]+)', 1), '.org')"
+    """Addresses of commits and tags made of events that aren't those of known customers; bad: an object lacks a role."""
+    e = table(spark, d, "events")
+    mail = lambda x: F.concat(F.lit("u"), x.cast("string"), F.lit("@x.org"))
+    who = lambda role, m: F.concat(F.lit(role + " n <"), m, F.lit("> 1 0\n"))
+    tag = F.concat(F.lit("object 1\n"), who("tagger", mail(F.col("user_id") + 1)))
+    commit = F.concat(F.lit("tree 1\n"), who("author", mail(F.col("user_id"))), F.when(F.col("event_id") % 7 != 0, who("committer", mail(F.col("user_id") * 2))).otherwise(""))
+    objects = e.select(F.when(F.col("event_id") % 5 == 0, "tag").otherwise("commit").alias("type"), F.concat(F.when(F.col("event_id") % 5 == 0, tag).otherwise(commit), F.lit("\nauthor n <none@x.org>\n\n")).alias("text"))
+    found = ledger.identities(objects)
+    allowed = table(spark, d, "customer").where("c_custkey % 3 = 0").select(mail(F.col("c_custkey")).alias("email"))
+    return found.join(ledger.not_allowed(found, allowed), "email")
+
+
+SQL["identity_audit"] = """WITH e AS (SELECT user_id AS u, event_id % 5 = 0 AS tag, event_id % 7 <> 0 AS two FROM events),
+r AS (SELECT u + 1 AS u, false AS bad FROM e WHERE tag UNION ALL SELECT u, NOT two FROM e WHERE NOT tag UNION ALL SELECT u * 2, false FROM e WHERE NOT tag AND two)
+SELECT 'u' || u || '@x.org' AS email, bool_or(bad) AS bad FROM r WHERE u NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) GROUP BY u"""
 
 
 def fence_coverage(spark, d):

@@ -55,12 +55,13 @@ merged AS (SELECT *, resolved IS DISTINCT FROM base AS changed FROM m)
 #: The history: two lanes a user; every third level has the other lane's node before as second parent.
 DAG_SQL = """
 ranked AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events),
-nodes AS (SELECT user_id, k % 2 AS lane, k // 2 AS level, user_id || ':' || (k // 2) || ':' || (k % 2) AS id FROM ranked WHERE k // 2 <= 15),
+nodes AS (SELECT user_id, k % 2 AS lane, k // 2 AS level, user_id || ':' || (k // 2) || ':' || (k % 2) AS id FROM ranked),
 edges AS (
   SELECT c.id AS child, p.id AS parent, 0 AS ordinal FROM nodes c JOIN nodes p ON c.user_id = p.user_id AND c.lane = p.lane AND c.level = p.level + 1
   UNION ALL
   SELECT c.id, p.id, 1 FROM nodes c JOIN nodes p ON c.user_id = p.user_id AND c.lane = 1 - p.lane AND c.level = p.level + 1 WHERE c.level % 3 = 0),
-tips AS (SELECT l.user_id AS pair, l.id AS "left", r.id AS "right" FROM nodes l JOIN nodes r ON l.user_id = r.user_id AND l.level = 13 AND r.level = 13 AND l.lane = 0 AND r.lane = 1)
+ends AS (SELECT user_id, lane, arg_max(id, level) AS id FROM nodes GROUP BY user_id, lane),
+tips AS (SELECT l.user_id AS pair, l.id AS "left", r.id AS "right" FROM ends l JOIN ends r ON l.user_id = r.user_id AND l.lane = 0 AND r.lane = 1)
 """
 _UP = """
 reach(pair, side, node) AS (
@@ -72,10 +73,7 @@ UP_SQL = f"WITH RECURSIVE {DAG_SQL.strip()}, {_UP.strip()}"
 
 
 def dag(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, tips) of all events: tips pairs the last nodes of each user's two lanes.
-
-    DAG_SQL still ends at level 15 and has its tips at level 13, so it isn't the same history.
-    """
+    """(nodes, edges, tips) of all events: tips pairs the last nodes of each user's two lanes."""
     e = table(spark, sf_dir, "events")
     from pyspark.sql import Window
 

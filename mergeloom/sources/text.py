@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.identity import unframed
-from ..operators.exchange import parse_header, parsed_line
+from ..operators.exchange import FORMAT, parse_header, parsed_line
 from ..operators.oplog import parse
 
 
@@ -59,23 +59,20 @@ def path_changes(logs: DataFrame) -> DataFrame:
     return rec.withColumn("c", _changes("rest")).select("sha", "author", "email", "date", "subject", F.posexplode("c").alias("seq", "c")).select("sha", "author", "email", "date", "subject", "seq", "c.status", "c.path")
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """(path, id, mode, file_id, copied_from) of an index: a header line, then a JSON tuple a line."""
-    rows = spark.read.text(path).where(F.col("value").startswith("["))
-    t = rows.select(F.from_json("value", "array<string>").alias("t"))
-    return t.select(*[F.get("t", F.lit(i)).alias(n) for i, n in enumerate(("path", "id", "mode", "file_id", "copied_from"))])
-
-
 def read_oplog(spark: SparkSession, path: str) -> DataFrame:
     return parse(spark.read.text(path).withColumnRenamed("value", "line"))
 
 
 def read_bundle(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
-    """(header, objects) of a bundle file; a bad line raises when it is read."""
+    """(header, objects) of a bundle file; a bad line raises when it is read.
+
+    Marker and header are known by how they begin, as splits of a file have no order.
+    """
     lines = spark.read.text(path).where("value <> ''")
-    head = [r.value for r in lines.limit(2).collect()]
-    header = parse_header(*(head + ["", ""])[:2])
-    rows = lines.where(F.col("value").rlike("^(?!\\{)") & (F.col("value") != head[0])).select(parsed_line(F.col("value")).alias("p"))
+    marks = lines.where(F.col("value") == FORMAT).limit(2).collect()
+    heads = [r.value for r in lines.where(F.col("value").startswith("{")).limit(2).collect()]
+    header = parse_header(FORMAT if len(marks) == 1 else "", heads[0] if len(heads) == 1 else "")
+    rows = lines.where(~F.col("value").startswith("{") & (F.col("value") != FORMAT)).select(parsed_line(F.col("value")).alias("p"))
     safe = F.when(F.col("p.problem").isNull(), F.col("p.id")).otherwise(F.raise_error(F.col("p.problem")).cast("string"))
     return header, rows.select(safe.alias("id"), "p.type", "p.payload")
 
