@@ -2,36 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+from ..shared import folder, forget, forget_since, mark, new_path, stored
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), one of our own."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured or os.path.join(tempfile.gettempdir(), "mergeloom-checkpoint")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/mergeloom-{tag}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
-    """Writes df as Parquet in the shared folder and returns what was written.
-
-    This cuts the lineage: a later loss of an executor only repeats reads of it.
-    """
-    spark = df.sparkSession
-    path = path or new_path(spark, tag)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(spark: SparkSession, path: str) -> None:
-    """Deletes a table that stored() wrote."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+__all__ = ["folder", "forget", "forget_since", "mark", "new_path", "stored"]
