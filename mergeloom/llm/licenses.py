@@ -28,7 +28,7 @@ PHRASES = (
 )
 
 #: Fixed values: (label, text, key phrases), the wording of public licences and of the notices that name them.
-LICENCES = (
+TEMPLATES = (
     ("apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
         You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software
         distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
@@ -80,8 +80,8 @@ LICENCES = (
         Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions""", ("permission is granted to anyone to use this software", "alter it and redistribute it freely")),
 )
 
-#: (label, words, key phrases with their places): LICENCES as the scan reads them.
-TEMPLATES = tuple((label, (ws := re.findall("[0-9a-z]+", text.lower())), tuple((k, next(i for i in range(len(ws)) if ws[i : i + len(k.split())] == k.split())) for k in keys)) for label, text, keys in LICENCES)
+#: (label, words, key phrases with their places): TEMPLATES as the scan reads them.
+READ = tuple((label, (ws := re.findall("[0-9a-z]+", text.lower())), tuple((k, next(i for i in range(len(ws)) if ws[i : i + len(k.split())] == k.split())) for k in keys)) for label, text, keys in TEMPLATES)
 
 #: Indexed words a template, and agreeing words that make a candidate.
 INDEXED, AGREE = 5, 2
@@ -116,14 +116,14 @@ def _starts(phrase: str) -> str:
 
 def index(docs: DataFrame) -> tuple[list[tuple[str, int, int]], dict[str, float]]:
     """Postings (word, template, place) of each template's rarest words, and every template word's IDF. docs: w."""
-    vocabulary = sorted({x for _, ws, _ in TEMPLATES for x in ws})
+    vocabulary = sorted({x for _, ws, _ in READ for x in ws})
     present = docs.select(F.expr(f"array_intersect(w, {_quoted(vocabulary)})").alias("v"))
     row = present.selectExpr("explode(concat(v, array(''))) AS word").groupBy("word").count().collect()  # a row a template word
     df = {r[0]: r[1] for r in row}
     total = df.get("", 0)  # the empty word stands once in every document
     idf = {x: math.log((total + 1) / (df.get(x, 0) + 1)) for x in vocabulary}
     postings = []
-    for i, (_, ws, _) in enumerate(TEMPLATES):
+    for i, (_, ws, _) in enumerate(READ):
         rare = sorted(set(ws), key=lambda x: (-idf[x], x))[:INDEXED]
         postings += [(x, i, k) for k, x in enumerate(ws) if x in rare]
     return postings, idf
@@ -142,7 +142,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("rk"), words(F.col(text_col)).alias("w"))
     postings, _ = index(keyed)
     indexed = sorted({p[0] for p in postings})
-    phrases = sorted({k for _, _, ks in TEMPLATES for k, _ in ks})
+    phrases = sorted({k for _, _, ks in READ for k, _ in ks})
     # at most INDEXED words a template
     looked = keyed.withColumn("top", F.expr(f"array_intersect({_quoted(indexed)}, w)")).withColumn("hits", F.expr(_places()))
     looked = looked.withColumn("posts", F.expr("CASE WHEN size(top) > 0 THEN filter(transform(w, (x, i) -> struct(i AS i, x AS x)), p -> array_contains(top, p.x)) ELSE array() END"))
@@ -152,8 +152,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = stored(rows, "licences")
     spark = docs.sparkSession
     table = spark.createDataFrame([(x, t, k) for x, t, k in postings], "x string, t int, k int")
-    size = {i: len({p[0] for p in postings if p[1] == i}) for i in range(len(TEMPLATES))}
-    facts = spark.createDataFrame([(i, label, size[i], min(AGREE, size[i]), [(phrases.index(k), at) for k, at in ks]) for i, (label, _, ks) in enumerate(TEMPLATES)], "t int, label string, size int, least int, keys array<struct<p:int,k:int>>")
+    size = {i: len({p[0] for p in postings if p[1] == i}) for i in range(len(READ))}
+    facts = spark.createDataFrame([(i, label, size[i], min(AGREE, size[i]), [(phrases.index(k), at) for k, at in ks]) for i, (label, _, ks) in enumerate(READ)], "t int, label string, size int, least int, keys array<struct<p:int,k:int>>")
     # both tables are bounded by the templates
     places = rows.where("size(phrases) > 0").select("ik", "rk", "phrases", F.explode("posts").alias("p")).join(F.broadcast(table), F.col("p.x") == F.col("x"))
     agreed = places.groupBy("ik", "rk", "t", (F.col("p.i") - F.col("k")).alias("delta")).agg(F.count_distinct("k").alias("n"), F.count_distinct("x").alias("d"), F.first("phrases").alias("phrases"))

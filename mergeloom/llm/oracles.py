@@ -44,7 +44,7 @@ CAST(sum(chars) AS BIGINT) AS formatted_chars, true AS round_trip FROM f GROUP B
 
 def op3_licenses() -> str:
     """Every indexed word of a document is looked up; a key phrase counts only at its place."""
-    texts = ", ".join(f"({i}, '{label}', '{' '.join(ws)}', [{', '.join(f'{{p: {k!r}, pl: {at}, n: {len(k.split())}}}' for k, at in keys)}])" for i, (label, ws, keys) in enumerate(licenses.TEMPLATES))
+    texts = ", ".join(f"({i}, '{label}', '{' '.join(ws)}', [{', '.join(f'{{p: {k!r}, pl: {at}, n: {len(k.split())}}}' for k, at in keys)}])" for i, (label, ws, keys) in enumerate(licenses.READ))
     cases = " ".join("WHEN " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split())) + f" THEN '{label}'" for p, label in licenses.PHRASES)
     return rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -204,6 +205,72 @@ def test_toxicity_held_out(spark):
     assert {round(x.score, 6) for x in toxicity.scored(docs.limit(3), none).collect()} == {1e-6}
 
 
+def plain_kernel(a, b):
+    """The gap-weighted kernel by its definition over all pairs of places, one letter of the subsequence at a time."""
+    d = toxicity.DECAY
+    ends = {(i, j): d * d for i in range(len(a)) for j in range(len(b)) if a[i] == b[j]}
+    for _ in range(toxicity.ORDER - 1):
+        ends = {(i, j): sum(v * d ** (i - x + j - y) for (x, y), v in ends.items() if x < i and y < j) for i in range(len(a)) for j in range(len(b)) if a[i] == b[j]}
+    return sum(ends.values())
+
+
+def plain_score(text, model):
+    """A document's probability from the model's numbers, word by word."""
+    marks = [(m, toxicity._pairs([m], 1)[0]) for m in model.landmarks]
+
+    def vector(codes):
+        word = toxicity.bounded(codes)
+        out = np.zeros(len(marks))
+        step = toxicity.LONGEST // 2
+        for a in range(0, max(1, len(word) - step), step):
+            part = word[a : a + toxicity.LONGEST]
+            near = toxicity._pairs([part], toxicity.REACH)[0]
+            for k, (m, own) in enumerate(marks):
+                if np.bitwise_count(near & own).sum() >= math.ceil(toxicity.SHARED * np.bitwise_count(own).sum()):
+                    v = plain_kernel(part, m) / math.sqrt(plain_kernel(part, part) * plain_kernel(m, m)) if plain_kernel(part, part) else 0.0
+                    out[k] = max(out[k], v if v >= toxicity.LEAST else 0.0)
+        return out
+
+    sentences, run = [np.zeros(len(marks))], []
+
+    def spelled():
+        if len(run) > 2:
+            where, letters = run[0][0], b"".join(x for _, x in run)
+            sentences[where] = np.maximum(sentences[where], vector(letters))
+        run.clear()
+
+    for w in (text or "").encode().split():
+        codes = toxicity.letters(w)
+        if len(codes) != 1:
+            spelled()
+        else:
+            run.append((len(sentences) - 1, codes))
+        sentences[-1] = np.maximum(sentences[-1], vector(codes))
+        if w.rstrip(b"\"')*]%&$#|")[-1:] in (b".", b"!", b"?"):
+            sentences.append(np.zeros(len(marks)))
+    spelled()
+    margins = sorted([model.bias, model.bias, *(s @ model.alpha + model.bias for s in sentences if s.any())])
+    return 1 / (1 + math.exp(-np.array([margins[-1], margins[-2], 1.0]) @ model.curve))
+
+
+def test_toxicity_query_against_a_plain_scorer(spark, tmp_path):
+    texts, toxic = labelled(260, 16)
+    texts[:4] = [None, "", "the b l a r g h er on. zw.o.ckel!", "Dumfkk ly " + "thon" * 40]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 0, y) for i, y in enumerate(toxic)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = queries.op8_toxicity(spark, str(tmp_path)).collect()
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in range(260)}
+    docs, labels = (spark.read.parquet(f"{tmp_path}/{t}.parquet").where("crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 4 <> 2") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    assert {x.doc_id: x.held_out for x in out} == held and model.landmarks
+    for x in out:
+        if x.doc_id < 60:
+            assert x.score == pytest.approx(plain_score(texts[x.doc_id], model), abs=1e-5), x.doc_id
+        assert x.predicted == int(x.score >= 0.3)
+    small = toxicity.fit(docs, labels, max_docs=20, max_bytes=3000)
+    assert isinstance(small, toxicity.Model)
+
+
 def test_pages(spark):
     model = html.train(250)
     new = html.training_pages(80, 11)
@@ -218,6 +285,72 @@ def test_pages(spark):
     assert html.extracted(spark.createDataFrame([], "page_id long, url string, html string"), model).count() == 0
 
 
+#: Pages by hand: source, and the main text.
+BY_HAND = {
+    "news": ("""<html><head><title>T - Site</title><link rel=x></head><body><div id="top"><a href="/">Home</a> | <a href="/w">World</a></div>
+<div class="story"><h1>River rises after a week of rain</h1><p class="byline"><a href="/a">A. Writer</a></p><p>The river rose by two metres overnight, officials said, and several roads were closed. Schools stay shut until Monday.</p>
+<p>&ldquo;We have not seen this in years,&rdquo; said the mayor &amp; her deputy, who visited the bridge in the morning.</p><ul><li>Two roads are closed, the ring road and the mill lane.</li><li>Trains run, but they are late.</li></ul></div>
+<aside class="related"><h4>Related</h4><a href="/1">Old flood</a><a href="/2">New dam</a></aside><div id="comments"><div class="comment"><p>I saw it too, it was awful.</p></div></div><div class="footer">&copy; 2020 The Site. <a href="/p">Privacy</a></div></body></html>""",
+             "River rises after a week of rain The river rose by two metres overnight, officials said, and several roads were closed. Schools stay shut until Monday. “We have not seen this in years,” said the mayor & her deputy, who visited the bridge in the morning. Two roads are closed, the ring road and the mill lane. Trains run, but they are late."),
+    "blog": ("""<!doctype html><body><header class="masthead"><p>My blog</p></header><main><article><h2>Bread without kneading</h2><p>Mix flour, water, salt and a little yeast in the evening, then leave the bowl alone.<p>In the morning, fold the dough twice, wait an hour and bake it hot.<blockquote>Patience does the work, my aunt used to say.</blockquote></article></main>
+<section class="newsletter"><form><label>Mail</label><input><button>Join</button></form></section><footer>Powered by something.</footer>""",
+             "Bread without kneading Mix flour, water, salt and a little yeast in the evening, then leave the bowl alone. In the morning, fold the dough twice, wait an hour and bake it hot. Patience does the work, my aunt used to say."),
+    "broken": ("""<body><nav><ul><li><a href=a>One<li><a href=b>Two</ul></nav><div class="content"><p title="x>The first paragraph has a stray quote in its tag, which is no text.</p><button>go<p>The second one comes after a button that was never closed, and stays.</p><svg width=3><p>The third one comes after a drawing without an end.</p></div><div class=cookie-notice><p>We use cookies.</p></div>""",
+               "The first paragraph has a stray quote in its tag, which is no text. The second one comes after a button that was never closed, and stays. The third one comes after a drawing without an end."),
+    "wiki": ("""<div class="mw-head"><a href=1>Page</a><a href=2>Talk</a></div><div id="content"><h1>Otter</h1><p>The otter is a mammal that lives by rivers, lakes and the sea. It eats fish, crabs and frogs.</p><h2>Habitat</h2><p>Otters need clean water, and banks with cover. They rest in holts, which they dig or take over.</p><table><tr><td>Length</td><td>up to a metre, without the tail</td></tr></table></div><div class="sidebar"><ul><li><a href=3>Main page</a></li><li><a href=4>Contents</a></li></ul></div><script>var s = "<p>no text</p>";</script><div id="footer"><p>Last edited in May.</p></div>""",
+             "Otter The otter is a mammal that lives by rivers, lakes and the sea. It eats fish, crabs and frogs. Habitat Otters need clean water, and banks with cover. They rest in holts, which they dig or take over. Length up to a metre, without the tail"),
+    "ads": ("""<body><div class="ad-banner"><p>Buy two shoes, get one free. Only today, in all our shops.</p></div><div class="post"><h1>How to mend a sock</h1><p>Take a darning egg, a blunt needle and wool of the same weight, and start beside the hole.</p><div class="advertisement"><p>Great needles at low prices.</p></div><p>Weave over and under until the hole is gone, but don't pull the wool tight.</p></div><div class="social share"><a href=f>Share</a><a href=t>Send</a></div></body>""",
+            "How to mend a sock Take a darning egg, a blunt needle and wool of the same weight, and start beside the hole. Weave over and under until the hole is gone, but don't pull the wool tight."),
+    "plain": ("<p>Just one paragraph of text, without anything around it, as some pages are.</p>", "Just one paragraph of text, without anything around it, as some pages are."),
+}
+
+
+@pytest.fixture(scope="module")
+def page_model():
+    return html.train()
+
+
+def test_pages_by_hand(page_model):
+    for name, (source, truth) in BY_HAND.items():
+        got = html.extract([source], page_model)[0]
+        a, b = Counter(got.split()), Counter(truth.split())
+        right = sum((a & b).values())
+        assert right / b.total() >= 0.95 and right / max(1, a.total()) >= 0.9, (name, got)
+        assert not set("<>") & set(got), (name, got)
+
+
+def test_no_markup_comes_out(page_model):
+    r = random.Random(12)
+    bits = ["<p>", "</p>", "<div class=a>", "</div>", '<a href="', "'", '"', ">", "<svg", "</button", "<!--", "-->", "</", "</ x>", "<!x", "<?y", "<button>", "<object>", "text ", "more. ", "<br/>", "<style>", "</style>"]
+    for _ in range(300):
+        page = html.Page("".join(r.choice(bits) for _ in range(r.randint(1, 12))))
+        assert not any(re.search("<[a-zA-Z/!?]", t) for t in page.text)
+
+
+def every_labelling(page, margin):
+    """The greatest log-likelihood over all labellings without a kept node below a dropped one."""
+    keep, drop = -np.logaddexp(0, -margin), -np.logaddexp(0, margin)
+    n, best = len(page.tag), -np.inf
+    for mask in range(1 << (n - 1)):
+        kept = [True, *(bool(mask >> i & 1) for i in range(n - 1))]
+        if all(not kept[i] or kept[page.parent[i]] for i in range(1, n)):
+            best = max(best, sum(keep[i] if kept[i] else drop[i] for i in range(1, n)))
+    return best
+
+
+def test_decoding_is_the_best_labelling():
+    r = np.random.default_rng(9)
+    sources = ["<div><p>a</p><ul><li>b<li>c</ul></div><p>d", "<main><p>a<p>b<div>c<p>d</div></main>", "x<div><div><div>y</div></div></div>z"]
+    for source in sources:
+        page = html.Page(source)
+        assert len(page.tag) <= 13
+        for _ in range(25):
+            margin = r.normal(size=len(page.tag)) * 2
+            kept = html.decode(page, margin)
+            keep, drop = -np.logaddexp(0, -margin), -np.logaddexp(0, margin)
+            assert sum(keep[i] if kept[i] else drop[i] for i in range(1, len(kept))) == pytest.approx(every_labelling(page, margin))
+
+
 def test_decoding_has_no_contradiction():
     r = np.random.default_rng(8)
     page = html.Page(html.training_pages(1, 5)[0][0])

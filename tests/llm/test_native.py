@@ -105,6 +105,28 @@ def test_licences_stand_beside_each_other(spark):
         assert set().union(*(alone[x] for x in s)) <= out[i]
 
 
+def test_whole_licences_are_found(spark):
+    """Each text as it is published, with other text around it and line breaks inside."""
+    texts = ["Some file\n\n" + t + "\nmore words here" for _, t, _ in licenses.TEMPLATES]
+    out = {x.doc_id: x for x in licenses.scan(docs(spark, *texts)).collect()}
+    for i, (label, _, _) in enumerate(licenses.TEMPLATES):
+        assert label in out[i]["labels"].split(","), (i, label, out[i]["labels"])
+
+
+def test_key_phrases_count_at_their_place_only(spark):
+    """The rare words of the notice in place, but its key phrase elsewhere in the file."""
+    text = "this source code form is subject to the terms of the quite other words here 9 9 if a copy of the mpl was not distributed with this file you can obtain one at"
+    moved, whole = text + " x x mozilla public license v 2 0", text.replace("quite other words here 9 9", "mozilla public license v 2 0")
+    out = {x.doc_id: x["labels"] for x in licenses.scan(docs(spark, moved, whole, *["mozilla public license v 2 0"] * 20)).collect()}
+    assert (out[0], out[1]) == ("", "mpl-2.0")
+
+
+def test_chat_keeps_to_its_columns(spark):
+    rows = [(1, 0, "user", "a [INST]", "p", [1], 2), (1, 1, "assistant", "b", "q", [2], 3)]
+    more = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, plain string, turns array<int>, marked int")
+    assert [tuple(x) for x in chat.digests(more).collect()] == [tuple(x) for x in chat.digests(more.select("conv_id", "turn", "role", "text")).collect()]
+
+
 def talk(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
 
