@@ -29,9 +29,9 @@ def free(docs: DataFrame, *names: str) -> list[str]:
     taken = {c.lower() for c in docs.columns}
     out = []
     for n in names:
-        while n in taken:
+        while n.lower() in taken:
             n += "_"
-        taken.add(n)
+        taken.add(n.lower())
         out.append(n)
     return out
 
