@@ -76,6 +76,14 @@ def newest_first(spark, d):
     return order.select("node", "seq")
 
 
+SQL["newest_first"] = f"""WITH RECURSIVE {DAG_SQL.strip()},
+t AS (SELECT user_id AS u, coalesce(max(level) FILTER (lane = 0), -1) AS a, coalesce(max(level) FILTER (lane = 1), -1) AS b FROM nodes GROUP BY user_id),
+s(u, i, a, b, id, top) AS (SELECT u, -1, a, b, '', '' FROM t UNION ALL
+  SELECT u, i + 1, CASE WHEN first THEN a - 1 ELSE a END, CASE WHEN first THEN b ELSE b - 1 END, CASE WHEN first THEN id0 ELSE id1 END, greatest(top, CASE WHEN first THEN id0 ELSE id1 END)
+  FROM (SELECT *, r0 AND (NOT r1 OR id0 < id1) AS first FROM (SELECT *, u || ':' || a || ':0' AS id0, u || ':' || b || ':1' AS id1, a >= 0 AND ((a + 1) % 3 <> 0 OR b <= a) AS r0, b >= 0 AND ((b + 1) % 3 <> 0 OR a <= b) AS r1 FROM s WHERE a >= 0 OR b >= 0)))
+SELECT id AS node, CAST(row_number() OVER (ORDER BY top, i) - 1 AS INTEGER) AS seq FROM s WHERE i >= 0"""
+
+
 def closure_missing(spark, d):
     r, n, c, o, l = (table(spark, d, t) for t in ("region", "nation", "customer", "orders", "lineitem"))
     contains = n.selectExpr("concat('r', n_regionkey) AS parent", "concat('n', n_nationkey) AS child").union(c.selectExpr("concat('n', c_nationkey)", "concat('c', c_custkey)")).union(o.selectExpr("concat('c', o_custkey)", "concat('o', o_orderkey)")).union(l.selectExpr("concat('o', l_orderkey)", "concat('l', l_orderkey, ':', l_linenumber)"))

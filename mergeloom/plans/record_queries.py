@@ -161,7 +161,7 @@ def _edited(spark, d):
 
 def line_diff(spark, d):
     e = _edited(spark, d).withColumn("x", textdiff.diff_udf("base", "theirs"))
-    return e.select("doc_id", "x.distance", F.size("x.edits").alias("edits"), (F.array_join(textdiff.applied(F.col("x.edits")), "\n") == F.regexp_replace("theirs", "\n$", "")).alias("replayed"))
+    return e.select("doc_id", "x.distance", F.size("x.edits").alias("edits"), (F.array_join(textdiff.applied(F.col("x.edits")), "\n") == F.substring("theirs", F.lit(1), F.length("theirs") - 1)).alias("replayed"))
 
 
 def unified_diff(spark, d):
@@ -173,6 +173,29 @@ def diff3_merge(spark, d):
     return m.select("doc_id", "m.clean", "m.text", F.size("m.conflicts").alias("conflicts"))
 
 
+#: Lines of base (i from 1): hit holds "the", so ours changes it; of is a line of its own, which theirs makes two of. No line of base is like a new one.
+_EDITED_SQL = """b AS (SELECT doc_id, regexp_replace(text, '([a-z]+) ', '\\1' || chr(10), 'g') AS base FROM documents),
+p AS (SELECT doc_id, base, string_split(coalesce(base, ''), chr(10)) AS parts FROM b),
+w AS (SELECT doc_id, base, CASE WHEN parts[len(parts)] = '' THEN list_slice(parts, 1, len(parts) - 1) ELSE parts END AS parts FROM p),
+l AS (SELECT doc_id, i, parts[i] AS x, contains(parts[i], 'the') AS hit, parts[i] = 'of' AS of_ FROM w, unnest(range(1, len(parts) + 1)) u(i))"""
+SQL["line_diff"] = f"""WITH {_EDITED_SQL}, n AS (SELECT doc_id, count(*) AS n, count(*) FILTER (of_) AS k FROM l GROUP BY doc_id)
+SELECT w.doc_id, CAST(CASE WHEN base IS NULL THEN 0 ELSE 3 * coalesce(k, 0) + CASE WHEN base = '' OR ends_with(base, chr(10)) THEN 1 ELSE 0 END END AS INTEGER) AS distance,
+CAST(CASE WHEN base IS NULL THEN 0 ELSE coalesce(n, 0) + 2 * coalesce(k, 0) + CASE WHEN base = '' OR ends_with(base, chr(10)) THEN 1 ELSE 0 END END AS INTEGER) AS edits, CASE WHEN base IS NOT NULL THEN true END AS replayed FROM w LEFT JOIN n USING (doc_id)"""
+SQL["unified_diff"] = f"""WITH {_EDITED_SQL}, c AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM l WHERE hit),
+g AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i - before > 7 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM c),
+h AS (SELECT doc_id, g, greatest(1, min(i) - 3) AS a, max(i) + 3 AS z FROM g GROUP BY doc_id, g),
+e AS (SELECT l.doc_id, h.g, l.i, l.x, l.hit, sum(CASE WHEN l.hit THEN 0 ELSE 1 END) OVER (PARTITION BY l.doc_id, h.g ORDER BY l.i) AS kept FROM h JOIN l ON l.doc_id = h.doc_id AND l.i BETWEEN h.a AND h.z),
+o AS (SELECT doc_id, g, i, kept, CASE WHEN hit THEN 0 ELSE -1 END AS part, CASE WHEN hit THEN '-' ELSE ' ' END || x AS x FROM e UNION ALL SELECT doc_id, g, i, kept, 1, '+' || replace(x, 'the', 'THE') FROM e WHERE hit),
+t AS (SELECT doc_id, g, '@@ -' || min(i) || ',' || count(DISTINCT i) || ' +' || min(i) || ',' || count(DISTINCT i) || ' @@' || chr(10) || string_agg(x || chr(10), '' ORDER BY kept, part, i) AS x FROM o GROUP BY doc_id, g),
+u AS (SELECT doc_id, '--- a' || chr(10) || '+++ b' || chr(10) || string_agg(x, '' ORDER BY g) AS diff FROM t GROUP BY doc_id)
+SELECT w.doc_id, coalesce(diff, '') AS diff FROM w LEFT JOIN u USING (doc_id)"""
+SQL["diff3_merge"] = f"""WITH {_EDITED_SQL}, s AS (SELECT *, sum(CASE WHEN hit OR of_ THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM l),
+k AS (SELECT doc_id, r, 1 AS part, string_agg(x || chr(10), '' ORDER BY i) AS old, string_agg(CASE WHEN hit THEN replace(x, 'the', 'THE') ELSE x END || chr(10), '' ORDER BY i) AS o, string_agg(CASE WHEN of_ THEN 'OF' || chr(10) || 'MORE' ELSE x END || chr(10), '' ORDER BY i) AS t, bool_or(hit) AS oc, bool_or(of_) AS tc FROM s WHERE hit OR of_ GROUP BY doc_id, r),
+m AS (SELECT doc_id, r, 1 AS part, CASE WHEN oc AND tc THEN '<<<<<<< ours' || chr(10) || o || '||||||| base' || chr(10) || old || '=======' || chr(10) || t || '>>>>>>> theirs' || chr(10) WHEN oc THEN o ELSE t END AS x, oc AND tc AS clash FROM k
+  UNION ALL SELECT doc_id, r, 0, x || chr(10), false FROM s WHERE NOT hit AND NOT of_),
+d AS (SELECT doc_id, string_agg(x, '' ORDER BY r, part) AS x, count(*) FILTER (clash) AS n FROM m GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n, 0) = 0 AS clean, CASE WHEN base IS NULL THEN '' ELSE coalesce(x, '') || CASE WHEN base = '' OR ends_with(base, chr(10)) THEN chr(10) ELSE '' END END AS text, CAST(coalesce(n, 0) AS INTEGER) AS conflicts FROM w LEFT JOIN d USING (doc_id)"""
+
 #: Texts and records of three versions: ours changes the first line (or lang), theirs the last (or n), or both the same place.
 CONTENTS_SQL = """
 d AS (SELECT doc_id AS k, source || '/' || lang || '/' || doc_id AS path, replace(coalesce(text, ''), chr(10), ' ') AS line, lang, n_chars AS n FROM documents),

@@ -95,15 +95,15 @@ def test_errors(repo, spark):
 
 
 def test_merge_commits(repo):
-    root = repo.commit({"f": "1\n2\n", "d/g": "g\n"})
-    a = repo.commit({"f": "one\n2\n", "d/g": "g\n"}, root)
-    b = repo.commit({"f": "1\ntwo\n", "d/g": "g\n", "new": "n\n"}, root)
+    root = repo.commit({"f": "1\n2\n3\n", "d/g": "g\n"})
+    a = repo.commit({"f": "one\n2\n3\n", "d/g": "g\n"}, root)
+    b = repo.commit({"f": "1\n2\nthree\n", "d/g": "g\n", "new": "n\n"}, root)
     other = repo.commit({"z": "z\n"})
     s = repo.store()
     got = merging.merge(s, a, b, repo.who, "both")
     assert (got.kind, got.bases) == ("merged", [root]) and got.merged.conflicts().count() == 0
     row = got.commits.first()
-    want = merging.tree_of(repo.snap({"f": "one\ntwo\n", "d/g": "g\n", "new": "n\n"}))
+    want = merging.tree_of(repo.snap({"f": "one\n2\nthree\n", "d/g": "g\n", "new": "n\n"}))
     assert (row.tree, list(row.parents), got.head) == (want, [a, b], row.id)
     again = rewrite.with_ids(got.commits.drop("id")).first()
     assert again.id == row.id and row.change_id != row.id
