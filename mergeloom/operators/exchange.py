@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import is_object_id, object_id
 from ..schema import KINDS
-from .graph import closure, reachable
+from .graph import closure, only_left, reachable
 
 FORMAT = "bundle 1"
 
@@ -35,10 +35,10 @@ def new_objects(incoming: DataFrame, store: DataFrame) -> DataFrame:
 
 def export_set(edges: DataFrame, contains: DataFrame, heads: DataFrame, since: DataFrame) -> DataFrame:
     """(id): commits that heads (id) reach and since (id) doesn't, with all that they contain."""
-    ours = reachable(edges, heads.select(F.lit(0).alias("root"), F.col("id").alias("node")))
-    theirs = reachable(edges, since.select(F.lit(0).alias("root"), F.col("id").alias("node")))
-    commits = ours.join(theirs, "node", "left_anti")
-    return closure(contains, commits.select("root", "node")).select(F.col("node").alias("id")).distinct()
+    of = lambda pair, c: pair.select(F.lit(0).alias("root"), F.lit(c).alias("side"), F.col("id").alias("node"))
+    both = of(heads, "l").union(of(since, "r")).select(F.struct("root", "side").alias("root"), "node")
+    commits = only_left(edges, both).select(F.lit(0).alias("root"), "node")
+    return closure(contains, commits).select(F.col("node").alias("id")).distinct()
 
 
 def import_report(incoming: DataFrame, store: DataFrame, prerequisites: DataFrame) -> DataFrame:

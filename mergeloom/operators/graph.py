@@ -162,11 +162,22 @@ def _two(pairs: DataFrame) -> DataFrame:
     return pairs.select("pair", F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("left").alias("node")), F.struct(F.lit("r").alias("side"), F.col("right").alias("node")))).alias("x")).select(F.struct("pair", "x.side").alias("root"), "x.node")
 
 
+def _beside(far: DataFrame, key: str) -> DataFrame:
+    """(key, chain, l, r): how far up the chain either side of reached() rows comes; -1 for not at all."""
+    both = far.select(f"root.{key}", "root.side", "chain", "pos")
+    top = lambda s: F.coalesce(F.max(F.when(F.col("side") == s, F.col("pos"))), F.lit(-1).cast("bigint"))
+    return both.groupBy(key, "chain").agg(top("l").alias("l"), top("r").alias("r"))
+
+
 def _sides(history: History, pairs: DataFrame) -> DataFrame:
-    """(pair, chain, l, r): how far up the chain either of the two reaches; -1 for not at all."""
-    both = reached(history, _two(pairs)).select("root.pair", "root.side", "chain", "pos")
-    far = lambda s: F.coalesce(F.max(F.when(F.col("side") == s, F.col("pos"))), F.lit(-1).cast("bigint"))
-    return both.groupBy("pair", "chain").agg(far("l").alias("l"), far("r").alias("r"))
+    """(pair, chain, l, r) of pairs (pair, left, right)."""
+    return _beside(reached(history, _two(pairs)), "pair")
+
+
+def only_left(edges_: DataFrame | History, start: DataFrame) -> DataFrame:
+    """(root, node): what start's rows (root: struct(root, side), node) reach with side l, and not with side r. Both walk together."""
+    h = _history(edges_)
+    return h.nodes(_beside(reached(h, start), "root").where("l > r").select("root", "chain", F.col("r").alias("lo"), F.col("l").alias("hi")))
 
 
 def ahead_behind(edges_: DataFrame | History, pairs: DataFrame) -> DataFrame:
@@ -369,9 +380,10 @@ def latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 def merge_kind(edges_: DataFrame | History, pairs: DataFrame) -> DataFrame:
     """(pair, kind) of bringing right into left: up_to_date, fast_forward or merge."""
     h = _history(edges_)
-    forth = is_ancestor(h, pairs.select("pair", F.col("right").alias("left"), F.col("left").alias("right"))).withColumnRenamed("is_ancestor", "has")
-    back = is_ancestor(h, pairs).withColumnRenamed("is_ancestor", "behind")
-    return forth.join(back, "pair").select("pair", F.when(F.col("has"), "up_to_date").when(F.col("behind"), "fast_forward").otherwise("merge").alias("kind"))
+    far = cut(_sides(h, pairs))
+    side = lambda node, other: h.placed(pairs.select("pair", F.col(node).alias("node"))).join(far, ["pair", "chain"], "left").select("pair", F.coalesce(F.col("pos") <= F.col(other), F.lit(False)).alias(node))
+    both = side("right", "l").join(side("left", "r"), "pair")
+    return both.select("pair", F.when(F.col("right"), "up_to_date").when(F.col("left"), "fast_forward").otherwise("merge").alias("kind"))
 
 
 def remote_listing(edges_: DataFrame | History, refs: DataFrame, head: str | None) -> DataFrame:

@@ -28,6 +28,13 @@ def ledger_totals(items: DataFrame) -> DataFrame:
     return items.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("created", "modified", "deleted")])
 
 
+def candidates(fields: DataFrame) -> DataFrame:
+    """(path, conflicts, ours_present, theirs_present): records of merged fields (records.merge_fields) that both sides changed."""
+    changed = lambda side: F.max(~F.col(side).eqNullSafe(F.col("base")))
+    g = fields.groupBy(F.col("record_id").alias("path")).agg(F.count_if("conflict").alias("conflicts"), (F.count("ours") > 0).alias("ours_present"), (F.count("theirs") > 0).alias("theirs_present"), changed("ours").alias("oc"), changed("theirs").alias("tc"))
+    return g.where("oc and tc").drop("oc", "tc")
+
+
 def preview(paths: DataFrame) -> DataFrame:
     """(path, resolution): what a merge would do with paths that both sides changed.
 

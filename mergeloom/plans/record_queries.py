@@ -138,9 +138,8 @@ SQL["canonical_records"] = """SELECT p_partkey, '{"brand":"' || p_brand || '","n
 
 
 def merge_preview(spark, d):
-    m = _merged(spark, d).groupBy("record_id").agg(F.count_if("conflict").alias("conflicts"), F.count("ours").alias("o"), F.count("theirs").alias("t"), F.max(~F.col("ours").eqNullSafe(F.col("base"))).alias("oc"), F.max(~F.col("theirs").eqNullSafe(F.col("base"))).alias("tc"))
-    k = F.col("record_id").cast("bigint")
-    both = m.where("oc and tc").select(F.col("record_id").alias("path"), F.when(k % 19 != 0, "item").alias("driver"), (F.col("o") > 0).alias("ours_present"), (F.col("t") > 0).alias("theirs_present"), "conflicts", F.when(k % 23 == 0, 1).otherwise(0).alias("unions"), F.when(k % 29 == 0, "union_reanchor").when(k % 31 == 0, "ours").alias("stream"))
+    k = F.col("path").cast("bigint")
+    both = ledger.candidates(_merged(spark, d)).select("path", F.when(k % 19 != 0, "item").alias("driver"), "ours_present", "theirs_present", "conflicts", F.when(k % 23 == 0, 1).otherwise(0).alias("unions"), F.when(k % 29 == 0, "union_reanchor").when(k % 31 == 0, "ours").alias("stream"))
     return ledger.preview_totals(ledger.preview(both), strict=True)
 
 
