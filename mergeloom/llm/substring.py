@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import forget, new_path, stored
+from .scratch import forget, forget_since, mark, new_path, stored
 
 WIDTH, GRAM = 50, 8
 #: Windows that a task holds before it compares them.
@@ -209,6 +209,7 @@ class FingerprintIndex:
         Documents enter the index in `batches` batches of ascending id, the last of which
         sees all. Documents of earlier calls own windows, but never lose any.
         """
+        point = mark()
         path, texts = bucketed(_keyed(docs, id_col, text_col), "texts", ["id", "rk"], self.buckets)
         made = new_path(self.spark, "prints")
         prints = stored(fingerprints(texts, self.width, self.gram), "prints", made)
@@ -226,7 +227,8 @@ class FingerprintIndex:
             known = self.append(part)
             shared = known if shared is None else shared.union(known)
         shared = stored(shared.groupBy("fp").agg(F.max("n").alias("n")), "shared")
-        covered = stored(self._covered(shared), "covered")
+        covered_path, proof_path = new_path(self.spark, "covered"), new_path(self.spark, "proof")
+        covered = stored(self._covered(shared), "covered", covered_path)
         wanted = covered.select(F.col("oid").alias("id"), F.col("ork").alias("rk"), "oa", (F.col("b") - F.col("a")).alias("len")).distinct()
         wanted = wanted.groupBy("id", "rk").agg(F.collect_list(F.struct("oa", "len")).alias("asked"))
         proof = None
@@ -234,7 +236,8 @@ class FingerprintIndex:
             part = t.join(wanted, ["id", "rk"]).select("id", "rk", "text", "asked").mapInArrow(_digests, "oid long, ork long, oa int, len int, digest binary")
             proof = part if proof is None else proof.union(part)
         # rows that repeat id and text give equal digests
-        proof = stored(proof.groupBy("oid", "ork", "oa", "len").agg(F.min("digest").alias("digest")), "proof")
+        proof = stored(proof.groupBy("oid", "ork", "oa", "len").agg(F.min("digest").alias("digest")), "proof", proof_path)
+        forget_since(self.spark, point, keep=(path, made, covered_path, proof_path, *(p for _, p, _ in self.runs)))
         own = covered.join(texts.select("id", "rk").distinct(), ["id", "rk"], "left_semi") if len(self.texts) > 1 else covered
         spans = own.withColumn("len", F.col("b") - F.col("a")).join(proof, ["oid", "ork", "oa", "len"], "left").select("id", "rk", "a", "b", "digest")
         return texts, spans
