@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -65,12 +66,13 @@ def _delete(context: SparkContext, path: str) -> None:
 
 @atexit.register
 def _clear() -> None:
-    """What results may still have read goes with the session."""
+    """What results may still have read goes with the session; without one, only local folders can be reached."""
     context = SparkContext._active_spark_context
-    if context is None or context._jsc is None:
-        return
     for path in _made:
-        try:
-            _delete(context, path)
-        except Exception:  # noqa: BLE001 - the JVM may be gone already
-            return
+        if "://" not in path:
+            shutil.rmtree(path, ignore_errors=True)
+        elif context is not None and context._jsc is not None:
+            try:
+                _delete(context, path)
+            except Exception:  # noqa: BLE001 - the JVM may be gone already
+                return
