@@ -333,8 +333,9 @@ def _ready_order(kind: str):
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """rows with their place in the order, from 0: ranges are sorted apart, and counts of ranges come before a place in one."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    local = cut(dealt.withColumn("local", F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1))
+    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("local", F.monotonically_increasing_id())
+    # the upper bits are the partition, the lower 33 the row in it
+    local = cut(dealt.withColumn("part", F.shiftright("local", 33).cast("int")).withColumn("local", F.col("local").bitwiseAND(F.lit((1 << 33) - 1))))
     sizes = sorted(tuple(r) for r in local.groupBy("part").count().collect())  # a row a partition
     first, total = {}, 0
     for part, size in sizes:
